@@ -1,14 +1,13 @@
 """Table layouts, run statuses and default parameters."""
 
-from pyspark.sql import types as T
-
-SAMPLES = T.StructType(
-    [
-        T.StructField("run_id", T.StringType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("pos", T.IntegerType()),
-        T.StructField("value", T.DoubleType()),
-    ]
+# Long format: one row per reading. ``pos`` is the 0-based column of the counter
+# in its log; names live in the counter dictionary, keyed by run and position.
+SAMPLES = "run_id string, ts timestamp_ntz, pos int, value double"
+COUNTERS = "run_id string, pos int, counter_path string, server string, metric string"
+RUNS = (
+    "run_id string, size_bytes long, rows long, bad_rows long, counters int, null_cells long,"
+    " time_column string, baseline_path string, fall_ts timestamp_ntz, status string,"
+    " ingested_at timestamp"
 )
 
 # Every data line of a log also yields one row with this position. Tick rows

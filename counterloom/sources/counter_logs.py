@@ -10,10 +10,10 @@ from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from counterloom.functions.lines import csv_cells, is_time_header, quoted_cells, time_position
+from counterloom.functions.lines import csv_cells, quoted_cells, time_position
 from counterloom.functions.numbers import is_finite, strict_double
 from counterloom.functions.paths import contains_any
 from counterloom.functions.times import parse_time
@@ -109,20 +109,16 @@ def read_lines(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _samples(lines: DataFrame) -> DataFrame:
-    """Samples of lines that carry ``columns, time_pos, positions`` of their run."""
-    split = lines.select(
-        "run_id", "line", "columns", "time_pos", "positions", quoted_cells(F.col("line")).alias("fast")
-    )
+    """Samples of lines that carry the plan of their run."""
+    split = lines.withColumn("fast", quoted_cells(F.col("line")))
     whole = F.when(F.size("fast") == F.col("columns"), F.col("fast"))
-    celled = split.select(
-        "run_id", "time_pos", "positions", whole.otherwise(csv_cells(F.col("line"))).alias("cells")
-    )
+    celled = split.withColumn("cells", whole.otherwise(csv_cells(F.col("line"))))
     time_cell = F.get("cells", F.col("time_pos"))
     readings = F.transform(
         "positions",
         lambda p: F.struct(p.alias("pos"), strict_double(F.get("cells", p)).alias("value")),
     )
-    timed = celled.filter(~is_header(time_cell)).select(
+    timed = celled.filter(~F.equal_null(time_cell, F.col("time_column"))).select(
         "run_id",
         parse_time(time_cell).alias("ts"),
         F.filter(readings, lambda r: is_finite(r.value)).alias("readings"),
@@ -133,10 +129,6 @@ def _samples(lines: DataFrame) -> DataFrame:
     )
 
 
-def is_header(time_cell: Column) -> Column:
-    return F.coalesce(is_time_header(time_cell), F.lit(False))
-
-
 def parse_lines(
     lines: DataFrame, layout: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
@@ -148,9 +140,9 @@ def parse_lines(
     disjoint files.
     """
     plan = layout.select(
-        "run_id", "columns", "time_pos", F.col("wanted.pos").alias("positions")
+        "run_id", "columns", "time_pos", "time_column", F.col("wanted.pos").alias("positions")
     ).filter(F.col("columns") > 0)
-    width = F.length("run_id") + 4 * F.size("positions") + 64
+    width = F.length("run_id") + F.length("time_column") + 4 * F.size("positions") + 64
     total = plan.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
     groups = total // broadcast_bytes + 1
 

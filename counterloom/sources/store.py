@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from counterloom.operators.runs import new_runs, run_status
 from counterloom.operators.select import baseline_counters
 from counterloom.operators.series import find_cut, resample_mean
-from counterloom.schema import TICK
+from counterloom.schema import COUNTERS, RUNS, SAMPLES, TICK
 from counterloom.shared import settle
 from counterloom.sources.counter_logs import (
     counter_dictionary,
@@ -28,15 +28,7 @@ from counterloom.sources.counter_logs import (
 
 FILES_PER_BATCH = 2000
 
-_TABLES = {
-    "samples": "run_id string, ts timestamp_ntz, pos int, value double, batch long",
-    "counters": "run_id string, pos int, counter_path string, server string, metric string, batch long",
-    "runs": (
-        "run_id string, size_bytes long, rows long, bad_rows long, counters int, null_cells long,"
-        " time_column string, baseline_path string, fall_ts timestamp_ntz, status string,"
-        " ingested_at timestamp, batch long"
-    ),
-}
+_TABLES = {"samples": SAMPLES, "counters": COUNTERS, "runs": RUNS}
 
 
 class Store(NamedTuple):
@@ -50,12 +42,13 @@ def _folder(store: str, table: str, batch: int) -> str:
 
 
 def _read(spark: SparkSession, store: str, table: str) -> DataFrame:
+    columns = f"{_TABLES[table]}, batch long"
     try:
-        return spark.read.schema(_TABLES[table]).parquet(f"{store}/{table}")
+        return spark.read.schema(columns).parquet(f"{store}/{table}")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], _TABLES[table])
+        return spark.createDataFrame([], columns)
 
 
 def last_batch(spark: SparkSession, store: str) -> int:
