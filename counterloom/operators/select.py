@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterloom.functions.paths import contains_any, path_metric, path_server
+from counterloom.schema import TICK
 
 
 def describe_counters(counters: DataFrame) -> DataFrame:
@@ -83,3 +84,17 @@ def baseline_counters(counters: DataFrame, baseline: str) -> DataFrame:
 def extract_counters(samples: DataFrame, patterns: list[str]) -> DataFrame:
     """Samples of the matching counters of all runs in one long table."""
     return select_any(samples, patterns).select("run_id", "ts", "pos", "counter_path", "value")
+
+
+def tick_others(samples: DataFrame, patterns: list[str]) -> DataFrame:
+    """Readings of the matching counters; the others become tick rows.
+
+    Run bounds count every line of a log, so time stamps must stay.
+    """
+    wanted = contains_any(F.col("counter_path"), patterns)
+    return samples.select(
+        "run_id",
+        "ts",
+        F.when(wanted, F.col("pos")).otherwise(TICK).alias("pos"),
+        F.when(wanted, F.col("value")).alias("value"),
+    )

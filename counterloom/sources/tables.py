@@ -35,8 +35,10 @@ def day_of(ts: Column) -> Column:
     return F.substring(ts.cast("string"), 1, 10)
 
 
-def event_samples(events: DataFrame) -> DataFrame:
+def event_samples(events: DataFrame, *extra: str, value: Column | None = None) -> DataFrame:
     """One run per day, three servers, one counter per event type and server."""
+    if value is None:
+        value = hundredths(F.col("value"))
     types = F.array(*[F.lit(t) for t in EVENT_COUNTERS])
     names = F.array(*[F.lit(c) for c in EVENT_COUNTERS.values()])
     number = F.array_position(types, F.col("event_type")).cast("int")
@@ -54,7 +56,8 @@ def event_samples(events: DataFrame) -> DataFrame:
         "ts",
         (server * len(EVENT_COUNTERS) + number).cast("int").alias("pos"),
         path.alias("counter_path"),
-        hundredths(F.col("value")).alias("value"),
+        value.alias("value"),
+        *extra,
     )
 
 
