@@ -7,20 +7,29 @@ _CELL = r',("[^"]*(?:""[^"]*)*"|[^,]*)'
 _BETWEEN = '","'
 
 
+def raw_cells(line: Column) -> Column:
+    """Cells of any comma-separated line as spelled, with their quotes."""
+    return F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
+
+
+def unquote(cell: Column) -> Column:
+    inner = F.substring(cell, F.lit(2), F.length(cell) - 2)
+    return F.when(
+        F.startswith(cell, F.lit('"')), F.replace(inner, F.lit('""'), F.lit('"'))
+    ).otherwise(cell)
+
+
 def csv_cells(line: Column) -> Column:
-    """Cells of any comma-separated line, quoted or not."""
-    raw = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_CELL), F.lit(1))
-    return F.transform(
-        raw,
-        lambda c: F.when(
-            F.startswith(c, F.lit('"')),
-            F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
-        ).otherwise(c),
-    )
+    """Cells of any comma-separated line without their quotes."""
+    return F.transform(raw_cells(line), unquote)
 
 
 def quoted_cells(line: Column) -> Column:
-    """Cells of a line that is quoted throughout, by one split; null for other lines."""
+    """Cells of a line that is quoted throughout, by one split; null for other lines.
+
+    Without doubled quotes every '","' lies between two cells, so the split is
+    exact when it finds as many cells as the header has.
+    """
     plain = (
         F.startswith(line, F.lit('"'))
         & F.endswith(line, F.lit('"'))

@@ -4,32 +4,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANKS = " \t\r\n"
-_NUMBER_CHARS = "0123456789+-.eE"
+_NUMBER_CHARS = "^[0-9+.eE-]+$"
 _INFINITY = float("inf")
 
 
-def strict_double(text: Column) -> Column:
-    """Plain decimal text as a double, other text as null.
+def trim_blanks(text: Column) -> Column:
+    return F.btrim(text, F.lit(_BLANKS))
+
+
+def plain_double(text: Column) -> Column:
+    """Trimmed decimal text as a double, other text as null.
 
     Spark's cast also takes type suffixes, hex floats and names such as NaN;
     only digits, signs, a point and an exponent may reach it here.
     """
-    trimmed = F.btrim(text, F.lit(_BLANKS))
-    plain = F.translate(trimmed, _NUMBER_CHARS, "") == ""
-    return F.when(plain, trimmed.try_cast("double"))
+    return F.when(F.rlike(text, F.lit(_NUMBER_CHARS)), text.try_cast("double"))
 
 
 def is_finite(value: Column) -> Column:
     return (value > -_INFINITY) & (value < _INFINITY)
 
 
-def finite(value: Column) -> Column:
-    return F.when(is_finite(value), value)
-
-
 def to_number(text: Column) -> Column:
-    """``strict_double`` with overflowing exponents as null."""
-    return finite(strict_double(text))
+    """Numeric text as a finite double, other text as null."""
+    value = plain_double(trim_blanks(text))
+    return F.when(is_finite(value), value)
 
 
 def is_byte_rate(metric: Column) -> Column:

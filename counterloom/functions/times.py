@@ -16,7 +16,7 @@ _MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}:\d{1,2}:\d{1,2}(?:\.
 def parse_time(text: Column) -> Column:
     """``MM/dd/yyyy HH:mm:ss.SSS`` or ISO text as TIMESTAMP_NTZ; other text as null."""
     iso = F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2 $4")
-    dated = F.regexp_like(iso, F.lit(r"^\s*\d{4}-\d{1,2}-\d{1,2}"))
+    dated = F.contains(text, F.lit("/")) | F.contains(text, F.lit("-"))
     return F.when(dated, iso.try_cast("timestamp_ntz"))
 
 

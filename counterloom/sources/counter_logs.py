@@ -2,19 +2,20 @@
 
 Every file has its own header, so a directory cannot be read as one CSV table.
 Headers are read on their own (first line of each file only); the data lines are
-read as text, split once per line, and only the wanted cells leave the line.
+then read by position, and only cells of wanted counters leave the scan.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from counterloom.functions.lines import csv_cells, quoted_cells, time_position
-from counterloom.functions.numbers import is_finite, strict_double
+from counterloom.functions.numbers import is_finite, plain_double, trim_blanks
 from counterloom.functions.paths import contains_any
 from counterloom.functions.times import parse_time
 from counterloom.operators.select import describe_counters
@@ -23,6 +24,7 @@ from counterloom.shared import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _BLOCK = 1024 * 1024
+_SPARE_COLUMNS = 20_480
 
 
 def list_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -98,61 +100,120 @@ def counter_dictionary(layout: DataFrame) -> DataFrame:
     return describe_counters(rows)
 
 
-def read_lines(spark: SparkSession, root: str) -> DataFrame:
-    """All lines under ``root`` with their file as ``run_id``; files are split freely."""
+def _readings(celled: DataFrame) -> DataFrame:
+    """Samples of rows that hold the cells of a line and the plan of its run.
+
+    A filter on a column made from cells would be moved below the step that makes
+    them and repeat it; an inner explode implies such a filter. So every such
+    column, the time stamp included, leaves through the explode, and rows are
+    dropped after it. Header lines become null arrays.
+    """
+    time_cell = F.get("cells", F.col("time_slot"))
+    texts = F.transform(F.transform("slots", lambda slot: F.get("cells", slot)), trim_blanks)
+    readings = F.arrays_zip(
+        F.array_repeat(parse_time(time_cell), F.size("slots")).alias("ts"),
+        F.col("positions").alias("pos"),
+        F.transform(texts, plain_double).alias("value"),
+    )
+    is_data = ~F.equal_null(time_cell, F.col("time_column"))
+    known = F.col("ts").isNotNull() & is_finite(F.col("value"))
     return (
-        spark.read.option("recursiveFileLookup", True)
-        .option("pathGlobFilter", "*.csv")
-        .text(root)
-        .select(F.col("_metadata.file_path").alias("run_id"), F.col("value").alias("line"))
+        celled.select("run_id", F.when(is_data, readings).alias("readings"))
+        .select("run_id", F.inline_outer("readings").alias("ts", "pos", "value"))
+        .filter((F.col("pos") == TICK) | known)
     )
 
 
-def _samples(lines: DataFrame) -> DataFrame:
-    """Samples of lines that carry the plan of their run."""
-    split = lines.withColumn("fast", quoted_cells(F.col("line")))
-    whole = F.when(F.size("fast") == F.col("columns"), F.col("fast"))
-    celled = split.withColumn("cells", whole.otherwise(csv_cells(F.col("line"))))
-    time_cell = F.get("cells", F.col("time_pos"))
-    readings = F.transform(
-        "positions",
-        lambda p: F.struct(p.alias("pos"), strict_double(F.get("cells", p)).alias("value")),
-    )
-    timed = celled.filter(~F.equal_null(time_cell, F.col("time_column"))).select(
-        "run_id",
-        parse_time(time_cell).alias("ts"),
-        F.filter(readings, lambda r: is_finite(r.value)).alias("readings"),
+def _plan(layout: DataFrame) -> DataFrame:
+    positions = F.concat(F.array(F.lit(TICK)), F.col("wanted.pos"))
+    return layout.filter(F.col("columns") > 0).select(
+        "run_id", "columns", "time_pos", "time_column", positions.alias("positions")
     )
-    tick = F.struct(F.lit(TICK).alias("pos"), F.lit(None).cast("double").alias("value"))
-    return timed.select("run_id", "ts", F.inline(F.concat(F.array(tick), F.col("readings")))).filter(
-        F.col("ts").isNotNull() | (F.col("pos") == TICK)
+
+
+def _by_group(plan: DataFrame, limit: int, scan: Callable[[DataFrame, Column], DataFrame]):
+    """Union of ``scan(part of the plan, its runs)`` over parts that may be broadcast.
+
+    Lines are far too wide to shuffle, so the plan goes to the lines. Its size is
+    summed first; beyond ``limit`` bytes the runs are split by hash of their name
+    into parts that each stay below it. The name of a file's run is its path, so
+    each scan lists the files of its own runs only.
+    """
+    width = F.length("run_id") + F.length("time_column") + 8 * F.size("positions") + 64
+    total = plan.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
+    groups = total // limit + 1
+    if groups == 1:
+        return scan(plan, F.lit(True))
+    group = F.pmod(F.xxhash64("run_id"), F.lit(groups))
+    return reduce(
+        DataFrame.unionByName,
+        [scan(plan.filter(group == number), group == number) for number in range(groups)],
     )
 
 
 def parse_lines(
     lines: DataFrame, layout: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
-    """Data lines (``run_id, line``) to samples, by the layout of their run.
+    """Log lines from any source (``run_id, line``) to samples, by the layout of their run."""
+
+    def scan(plan: DataFrame, here: Column) -> DataFrame:
+        plan = plan.withColumnsRenamed({"time_pos": "time_slot"})
+        plan = plan.withColumn("slots", F.col("positions"))
+        split = (
+            lines.filter(here)
+            .join(F.broadcast(plan), "run_id")
+            .withColumn("fast", quoted_cells(F.col("line")))
+        )
+        whole = F.when(F.size("fast") == F.col("columns"), F.col("fast"))
+        return _readings(split.withColumn("cells", whole.otherwise(csv_cells(F.col("line")))))
+
+    return _by_group(_plan(layout), broadcast_bytes, scan)
 
-    Lines are far too wide to shuffle, so the positions go to the lines. Their
-    size is summed first; when it exceeds ``broadcast_bytes`` the runs are split
-    by hash into groups that each stay below it, and the scans of the groups read
-    disjoint files.
-    """
-    plan = layout.select(
-        "run_id", "columns", "time_pos", "time_column", F.col("wanted.pos").alias("positions")
-    ).filter(F.col("columns") > 0)
-    width = F.length("run_id") + F.length("time_column") + 4 * F.size("positions") + 64
-    total = plan.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
-    groups = total // broadcast_bytes + 1
 
-    def scan(group: int) -> DataFrame:
-        here = F.pmod(F.xxhash64("run_id"), F.lit(groups)) == group
-        if groups == 1:
-            return _samples(lines.join(F.broadcast(plan), "run_id"))
-        return _samples(lines.filter(here).join(F.broadcast(plan.filter(here)), "run_id"))
+def read_samples(
+    spark: SparkSession,
+    root: str,
+    layout: DataFrame,
+    run_ids: list[str] | None = None,
+    broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """Log files to samples, by the layout of their run.
+
+    Columns are read by position, so files with different headers share a scan.
+    The scan reads only positions that some run of the layout wants; a run picks
+    its own from them.
+    """
+    chosen = F.lit(True) if run_ids is None else F.col("run_id").isin(run_ids)
+
+    def scan(plan: DataFrame, here: Column) -> DataFrame:
+        used = plan.select(F.explode(F.concat(F.array("time_pos"), "positions")).alias("pos"))
+        used = used.filter(F.col("pos") != TICK).distinct().collect()
+        used = sorted(row.pos for row in used)
+        columns = plan.agg(F.coalesce(F.max("columns"), F.lit(0)).alias("n")).first().n
+        spots = F.array(*[F.lit(pos) for pos in used]).cast("array<int>")
+        plan = plan.select(
+            "run_id",
+            "time_column",
+            "positions",
+            (F.array_position(spots, F.col("time_pos")) - 1).cast("int").alias("time_slot"),
+            F.transform(
+                "positions", lambda pos: (F.array_position(spots, pos) - 1).cast("int")
+            ).alias("slots"),
+        )
+        cells = F.array(*[F.col(f"_c{pos}") for pos in used]).cast("array<string>")
+        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(columns)]
+        rows = (
+            spark.read.schema(T.StructType(fields))
+            .option("recursiveFileLookup", True)
+            .option("pathGlobFilter", "*.csv")
+            .option("escape", '"')
+            .option("maxColumns", 4 * columns + _SPARE_COLUMNS)
+            .csv(root)
+            .select(F.col("_metadata.file_path").alias("run_id"), cells.alias("cells"))
+        )
+        return _readings(rows.filter(chosen & here).join(F.broadcast(plan), "run_id"))
 
-    return reduce(DataFrame.unionByName, [scan(g) for g in range(groups)])
+    return _by_group(_plan(layout), broadcast_bytes, scan)
 
 
 def read_counter_logs(
@@ -160,4 +221,4 @@ def read_counter_logs(
 ) -> tuple[DataFrame, DataFrame]:
     """Layouts and samples (with tick rows) of every log under ``root``."""
     layout = settle(layouts(read_headers(list_logs(spark, root)), patterns), "layouts")
-    return layout, parse_lines(read_lines(spark, root), layout)
+    return layout, read_samples(spark, root, layout)

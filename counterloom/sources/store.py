@@ -21,9 +21,8 @@ from counterloom.sources.counter_logs import (
     counter_dictionary,
     layouts,
     list_logs,
-    parse_lines,
     read_headers,
-    read_lines,
+    read_samples,
 )
 
 FILES_PER_BATCH = 2000
@@ -100,13 +99,13 @@ def ingest_files(
 ) -> None:
     """Ingest the named files as one batch; repeating a batch replaces it."""
     wanted = [*patterns, baseline]
-    chosen = F.col("run_id").isin(run_ids)
-    layout = settle(layouts(read_headers(list_logs(spark, root).filter(chosen)), wanted), "layouts")
+    logs = list_logs(spark, root).filter(F.col("run_id").isin(run_ids))
+    layout = settle(layouts(read_headers(logs), wanted), "layouts")
 
     # Rebalancing by run gives files of the advisory size and splits large runs.
     samples_at = _folder(store, "samples", batch)
     (
-        parse_lines(read_lines(spark, root).filter(chosen), layout)
+        read_samples(spark, root, layout, run_ids)
         .hint("rebalance", "run_id")
         .sortWithinPartitions("run_id", "pos", "ts")
         .write.mode("overwrite")
