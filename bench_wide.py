@@ -1,7 +1,8 @@
 """Times the whole job on wide logs of the published workload's shape.
 
 Three logs of 16,130, 10,806 and 8,870 lines with 6,500 counters each, about
-0.5 GB a file, 25 patterns. The logs are generated into a scratch folder first.
+0.5 GB a file, 25 patterns. The logs are generated into a scratch folder first,
+unless BENCH_LOGS names one that holds them.
 """
 
 import datetime as dt
@@ -12,7 +13,6 @@ import tempfile
 import time
 
 from bench import session
-from counterloom.operators.report import MAX_COLUMNS
 from counterloom.plans.report import log_statistics, store_statistics, wide_report
 from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS
 from counterloom.sources.store import ingest_new
@@ -27,12 +27,14 @@ def write_log(path: str, server: str, rows: int, seed: int) -> None:
     names = [DEFAULT_BASELINE] + [
         f"Object {i}(instance)\\{DEFAULT_PATTERNS[i % len(DEFAULT_PATTERNS)]}" for i in range(WANTED)
     ]
-    names += [f"Process(worker#{i})\\Handle Total" for i in range(COLUMNS - len(names))]
-    header = ["(PDH-CSV 4.0) (GMT Standard Time)(0)"] + [f"\\\\{server}\\{n}" for n in names]
-    rest = COLUMNS - 1 - WANTED
-    tails = [
-        ",".join(f'"{rng.choice([0, 0, 0, 1, 17, 4096, round(rng.random(), 4)])}"' for _ in range(rest))
-        for _ in range(50)
+    gap = (COLUMNS - len(names)) // len(names)
+    header = ["(PDH-CSV 4.0) (GMT Standard Time)(0)"]
+    for name in names:
+        header.append(f"\\\\{server}\\{name}")
+        header += [f"\\\\{server}\\Process(worker#{len(header) + i})\\Handle Total" for i in range(gap)]
+    fillers = [
+        ",".join(f'"{rng.choice([0, 0, 0, 1, 17, 4096, round(rng.random(), 4)])}"' for _ in range(gap))
+        for _ in range(500)
     ]
     start = dt.datetime(2025, 2, 5, 10, 31, 14) + dt.timedelta(days=seed)
     with open(path, "w", buffering=1 << 20) as out:
@@ -40,8 +42,9 @@ def write_log(path: str, server: str, rows: int, seed: int) -> None:
         for i in range(rows):
             ts = (start + dt.timedelta(seconds=i)).strftime("%m/%d/%Y %H:%M:%S.") + f"{i % 1000:03d}"
             load = rng.uniform(80, 120) if i < rows * 0.8 else rng.uniform(1, 3)
-            cells = ",".join(f'"{rng.uniform(0, 1000):.6f}"' for _ in range(WANTED))
-            out.write(f'"{ts}","{load:.6f}",{cells},{tails[i % 50]}\r\n')
+            values = [load] + [rng.uniform(0, 1000) for _ in range(WANTED)]
+            cells = ",".join(f'"{v:.6f}",{rng.choice(fillers)}' for v in values)
+            out.write(f'"{ts}",{cells}\r\n')
 
 
 def timed(run) -> float:
@@ -51,9 +54,11 @@ def timed(run) -> float:
 
 
 def main() -> None:
-    root = tempfile.mkdtemp(prefix="wide-logs-")
-    for seed, rows in enumerate(ROWS):
-        write_log(f"{root}/run{seed}.csv", f"SRV{seed}", rows, seed)
+    root = os.environ.get("BENCH_LOGS")
+    if not root:
+        root = tempfile.mkdtemp(prefix="wide-logs-")
+        for seed, rows in enumerate(ROWS):
+            write_log(f"{root}/run{seed}.csv", f"SRV{seed}", rows, seed)
     size = sum(os.path.getsize(f"{root}/{f}") for f in os.listdir(root))
     spark = session(os.environ.get("BENCH_CPUS", "8"))
     store = tempfile.mkdtemp(prefix="wide-store-")
@@ -63,7 +68,6 @@ def main() -> None:
         "ingest": timed(lambda: ingest_new(spark, root, store, DEFAULT_PATTERNS, DEFAULT_BASELINE)),
         "report_from_store": timed(lambda: wide_report(store_statistics(spark, store)).collect()),
     }
-    assert len(wide_report(store_statistics(spark, store)).columns) < MAX_COLUMNS
     print(json.dumps({"metric": "wide logs", "gigabytes": round(size / 1e9, 2), "queries": times}))
 
 

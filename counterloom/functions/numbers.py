@@ -3,22 +3,17 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_BLANKS = " \t\r\n"
-_NUMBER_CHARS = "^[0-9+.eE-]+$"
+_NUMBER = r"^[ \t\r\n]*[0-9+.eE-]+[ \t\r\n]*$"
 _INFINITY = float("inf")
 
 
-def trim_blanks(text: Column) -> Column:
-    return F.btrim(text, F.lit(_BLANKS))
-
-
 def plain_double(text: Column) -> Column:
-    """Trimmed decimal text as a double, other text as null.
+    """Decimal text, blanks around it allowed, as a double; other text as null.
 
-    Spark's cast also takes type suffixes, hex floats and names such as NaN;
-    only digits, signs, a point and an exponent may reach it here.
+    Spark's cast drops the blanks, but also takes type suffixes, hex floats and
+    names such as NaN; only digits, signs, a point and an exponent may reach it.
     """
-    return F.when(F.rlike(text, F.lit(_NUMBER_CHARS)), text.try_cast("double"))
+    return F.when(F.rlike(text, F.lit(_NUMBER)), text.try_cast("double"))
 
 
 def is_finite(value: Column) -> Column:
@@ -27,7 +22,7 @@ def is_finite(value: Column) -> Column:
 
 def to_number(text: Column) -> Column:
     """Numeric text as a finite double, other text as null."""
-    value = plain_double(trim_blanks(text))
+    value = plain_double(text)
     return F.when(is_finite(value), value)
 
 

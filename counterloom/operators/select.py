@@ -96,5 +96,6 @@ def tick_others(samples: DataFrame, patterns: list[str]) -> DataFrame:
         "run_id",
         "ts",
         F.when(wanted, F.col("pos")).otherwise(TICK).alias("pos"),
+        F.when(wanted, F.col("counter_path")).alias("counter_path"),
         F.when(wanted, F.col("value")).alias("value"),
     )

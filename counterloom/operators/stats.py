@@ -56,11 +56,13 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
 
     A cut is always the start of a bin, so bins can be kept or dropped whole
     except for samples exactly on that start; ``on_start`` keeps those apart.
+    Paths stay with the bins of samples that carry them.
     """
+    keys = [c for c in ("run_id", "pos", "counter_path") if c in samples.columns]
     start = bin_start(F.col("ts"), minutes)
     return (
-        samples.select("run_id", "pos", "ts", "value", start.alias("bin"))
-        .groupBy("run_id", "pos", "bin", (F.col("ts") == F.col("bin")).alias("on_start"))
+        samples.select(*keys, "ts", "value", start.alias("bin"))
+        .groupBy(*keys, "bin", (F.col("ts") == F.col("bin")).alias("on_start"))
         .agg(
             F.sum("value").alias("total"),
             F.count("value").alias("n"),
@@ -126,17 +128,16 @@ def pooled_stats(samples: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def add_mbps_rows(stats: DataFrame) -> DataFrame:
-    """Append a row in Mbps for every byte rate."""
-    rates = stats.filter(is_byte_rate(F.col("metric")))
-    return stats.unionByName(
-        rates.withColumns(
-            {
-                "metric": mbps_name(F.col("metric")),
-                "avg": bytes_to_mbps(F.col("avg")),
-                "max": bytes_to_mbps(F.col("max")),
-            }
-        )
+    """Add a row in Mbps after every byte rate, in the same pass."""
+    row = F.struct(*[F.col(c).alias(c) for c in ("metric", "avg", "max")])
+    mbps = F.struct(
+        mbps_name(F.col("metric")).alias("metric"),
+        bytes_to_mbps(F.col("avg")).alias("avg"),
+        bytes_to_mbps(F.col("max")).alias("max"),
     )
+    rows = F.when(is_byte_rate(F.col("metric")), F.array(row, mbps)).otherwise(F.array(row))
+    rest = [c for c in stats.columns if c not in ("metric", "avg", "max")]
+    return stats.select(*rest, F.inline(rows))
 
 
 def run_counts(stats: DataFrame) -> DataFrame:

@@ -332,10 +332,8 @@ def mbps_rows(spark, folder):
 
 
 def _statistics(spark, folder, keep=stats.HEAD) -> DataFrame:
-    wanted = [*PATTERNS, BASELINE]
-    samples = select.tick_others(_samples(spark, folder), wanted)
-    counters = select.select_any(_counters(spark, folder), wanted)
-    return run_statistics(samples, counters, BASELINE, keep)
+    samples = select.tick_others(_samples(spark, folder), [*PATTERNS, BASELINE])
+    return run_statistics(samples, baseline=BASELINE, keep=keep)
 
 
 def run_counts(spark, folder):
@@ -393,9 +391,9 @@ def _listed_runs(spark, folder) -> DataFrame:
 def _run_status(spark, folder) -> DataFrame:
     samples = _user_days(spark, folder)
     bins = settle(stats.bin_samples(samples), "bins")
-    baselines = select.baseline_counters(sample_counters(samples), BASELINE)
+    baselines = select.baseline_counters(sample_counters(bins), BASELINE)
     cuts = series.find_cut(stats.baseline_bins(bins, baselines), stats.binned_bounds(bins))
-    rows = samples.groupBy("run_id").agg(F.count("*").alias("rows"))
+    rows = bins.groupBy("run_id").agg(F.sum("n").alias("rows"))
     listed = _listed_runs(spark, folder).join(rows, "run_id", "left")
     return runs.run_status(listed, baselines, cuts)
 

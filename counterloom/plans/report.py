@@ -27,7 +27,7 @@ from counterloom.sources.store import open_store
 
 def run_statistics(
     samples: DataFrame,
-    counters: DataFrame,
+    counters: DataFrame | None = None,
     baseline: str = DEFAULT_BASELINE,
     keep: str = HEAD,
     minutes: int = BIN_MINUTES,
@@ -35,9 +35,13 @@ def run_statistics(
     """Labelled average and maximum per run and counter, trimmed at each run's cut.
 
     Samples are read once: they shrink to bins, and both the cuts and the trimmed
-    statistics come from the settled bins.
+    statistics come from the settled bins, and so does the counter dictionary of
+    samples that carry their paths.
     """
     bins = settle(bin_samples(samples, minutes), "bins")
+    if counters is None:
+        counters = bins.select("run_id", "pos", "counter_path").distinct()
+        counters = counters.filter(F.col("counter_path").isNotNull())
     bounds = binned_bounds(bins)
     series = baseline_bins(bins, baseline_counters(counters, baseline))
     cuts = find_cut(series, bounds, minutes).filter(F.col("status") == OK)

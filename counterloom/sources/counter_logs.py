@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from counterloom.functions.lines import csv_cells, quoted_cells, time_position
-from counterloom.functions.numbers import is_finite, plain_double, trim_blanks
+from counterloom.functions.numbers import is_finite, plain_double
 from counterloom.functions.paths import contains_any
 from counterloom.functions.times import parse_time
 from counterloom.operators.select import describe_counters
@@ -24,7 +24,7 @@ from counterloom.shared import settle
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 _BLOCK = 1024 * 1024
-_SPARE_COLUMNS = 20_480
+_MAX_COLUMNS = 200_000
 
 
 def list_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -109,7 +109,7 @@ def _readings(celled: DataFrame) -> DataFrame:
     dropped after it. Header lines become null arrays.
     """
     time_cell = F.get("cells", F.col("time_slot"))
-    texts = F.transform(F.transform("slots", lambda slot: F.get("cells", slot)), trim_blanks)
+    texts = F.transform("slots", lambda slot: F.get("cells", slot))
     readings = F.arrays_zip(
         F.array_repeat(parse_time(time_cell), F.size("slots")).alias("ts"),
         F.col("positions").alias("pos"),
@@ -189,7 +189,6 @@ def read_samples(
         used = plan.select(F.explode(F.concat(F.array("time_pos"), "positions")).alias("pos"))
         used = used.filter(F.col("pos") != TICK).distinct().collect()
         used = sorted(row.pos for row in used)
-        columns = plan.agg(F.coalesce(F.max("columns"), F.lit(0)).alias("n")).first().n
         spots = F.array(*[F.lit(pos) for pos in used]).cast("array<int>")
         plan = plan.select(
             "run_id",
@@ -201,13 +200,13 @@ def read_samples(
             ).alias("slots"),
         )
         cells = F.array(*[F.col(f"_c{pos}") for pos in used]).cast("array<string>")
-        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(columns)]
+        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(max(used, default=0) + 1)]
         rows = (
             spark.read.schema(T.StructType(fields))
             .option("recursiveFileLookup", True)
             .option("pathGlobFilter", "*.csv")
             .option("escape", '"')
-            .option("maxColumns", 4 * columns + _SPARE_COLUMNS)
+            .option("maxColumns", _MAX_COLUMNS)
             .csv(root)
             .select(F.col("_metadata.file_path").alias("run_id"), cells.alias("cells"))
         )
