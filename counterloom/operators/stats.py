@@ -64,6 +64,7 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
         samples.select(*keys, "ts", "value", start.alias("bin"))
         .groupBy(*keys, "bin", (F.col("ts") == F.col("bin")).alias("on_start"))
         .agg(
+            F.count("*").alias("rows"),
             F.sum("value").alias("total"),
             F.count("value").alias("n"),
             F.max("value").alias("top"),
@@ -88,6 +89,12 @@ def binned_bounds(bins: DataFrame) -> DataFrame:
     )
 
 
+def binned_counters(bins: DataFrame) -> DataFrame:
+    """The counter dictionary of bins that carry their paths."""
+    named = bins.filter(F.col("counter_path").isNotNull())
+    return named.select("run_id", "pos", "counter_path").distinct()
+
+
 def kept_stats(bins: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
     """``counter_stats`` of the samples ``keep_rows`` would keep, from bins."""
     ends = cuts.select("run_id", "fall_ts", "start_ts", "end_ts")

@@ -275,20 +275,23 @@ def run_bounds(spark, folder):
     return stats.run_bounds(_samples(spark, folder))
 
 
-def _baseline_series(spark, folder) -> DataFrame:
-    """Samples of the first baseline column of each day."""
-    samples = _samples(spark, folder)
-    first = select.baseline_counters(_counters(spark, folder), BASELINE)
-    return samples.join(first.select("run_id", "pos"), ["run_id", "pos"])
+def _day_bins(spark, folder) -> DataFrame:
+    return settle(stats.bin_samples(_samples(spark, folder)), "bins")
+
+
+def _baseline_series(bins: DataFrame) -> DataFrame:
+    """Bin means of the first baseline counter of each run."""
+    first = select.baseline_counters(stats.binned_counters(bins), BASELINE)
+    return stats.baseline_bins(bins, first)
 
 
 def pct_change(spark, folder):
-    return series.pct_change(series.resample_mean(_baseline_series(spark, folder), ["run_id"]))
+    return series.pct_change(_baseline_series(_day_bins(spark, folder)))
 
 
 def find_cut(spark, folder):
-    bins = series.resample_mean(_baseline_series(spark, folder), ["run_id"])
-    return series.find_cut(bins, stats.run_bounds(_samples(spark, folder)))
+    bins = _day_bins(spark, folder)
+    return series.find_cut(_baseline_series(bins), stats.binned_bounds(bins))
 
 
 def find_cut_gaps_and_zeros(spark, folder):
@@ -391,9 +394,9 @@ def _listed_runs(spark, folder) -> DataFrame:
 def _run_status(spark, folder) -> DataFrame:
     samples = _user_days(spark, folder)
     bins = settle(stats.bin_samples(samples), "bins")
-    baselines = select.baseline_counters(sample_counters(bins), BASELINE)
+    baselines = select.baseline_counters(stats.binned_counters(bins), BASELINE)
     cuts = series.find_cut(stats.baseline_bins(bins, baselines), stats.binned_bounds(bins))
-    rows = bins.groupBy("run_id").agg(F.sum("n").alias("rows"))
+    rows = bins.groupBy("run_id").agg(F.sum("rows").alias("rows"))
     listed = _listed_runs(spark, folder).join(rows, "run_id", "left")
     return runs.run_status(listed, baselines, cuts)
 

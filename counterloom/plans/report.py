@@ -17,6 +17,7 @@ from counterloom.operators.stats import (
     baseline_bins,
     bin_samples,
     binned_bounds,
+    binned_counters,
     kept_stats,
 )
 from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK
@@ -25,23 +26,14 @@ from counterloom.sources.counter_logs import counter_dictionary, read_counter_lo
 from counterloom.sources.store import open_store
 
 
-def run_statistics(
-    samples: DataFrame,
-    counters: DataFrame | None = None,
+def bin_statistics(
+    bins: DataFrame,
+    counters: DataFrame,
     baseline: str = DEFAULT_BASELINE,
     keep: str = HEAD,
     minutes: int = BIN_MINUTES,
 ) -> DataFrame:
-    """Labelled average and maximum per run and counter, trimmed at each run's cut.
-
-    Samples are read once: they shrink to bins, and both the cuts and the trimmed
-    statistics come from the settled bins, and so does the counter dictionary of
-    samples that carry their paths.
-    """
-    bins = settle(bin_samples(samples, minutes), "bins")
-    if counters is None:
-        counters = bins.select("run_id", "pos", "counter_path").distinct()
-        counters = counters.filter(F.col("counter_path").isNotNull())
+    """Labelled average and maximum per run and counter, trimmed at each run's cut."""
     bounds = binned_bounds(bins)
     series = baseline_bins(bins, baseline_counters(counters, baseline))
     cuts = find_cut(series, bounds, minutes).filter(F.col("status") == OK)
@@ -51,6 +43,24 @@ def run_statistics(
     return labelled_stats(add_mbps_rows(stats), keep)
 
 
+def run_statistics(
+    samples: DataFrame,
+    counters: DataFrame | None = None,
+    baseline: str = DEFAULT_BASELINE,
+    keep: str = HEAD,
+    minutes: int = BIN_MINUTES,
+) -> DataFrame:
+    """``bin_statistics`` of samples, which are read once.
+
+    Samples shrink to bins; cuts and trimmed statistics come from the settled
+    bins, and so does the counter dictionary of samples that carry their paths.
+    """
+    bins = settle(bin_samples(samples, minutes), "bins")
+    if counters is None:
+        counters = binned_counters(bins)
+    return bin_statistics(bins, counters, baseline, keep, minutes)
+
+
 def report_cells(statistics: DataFrame) -> DataFrame:
     """Rounded report cells in long form, complete at any number of runs."""
     return round_report(first_by_label(statistics))
@@ -76,4 +86,4 @@ def store_statistics(
     spark: SparkSession, store: str, baseline: str = DEFAULT_BASELINE, keep: str = HEAD
 ) -> DataFrame:
     tables = open_store(spark, store)
-    return run_statistics(tables.samples, tables.counters, baseline, keep)
+    return bin_statistics(tables.bins, tables.counters, baseline, keep)

@@ -3,6 +3,10 @@
 # Long format: one row per reading. ``pos`` is the 0-based column of the counter
 # in its log; names live in the counter dictionary, keyed by run and position.
 SAMPLES = "run_id string, ts timestamp_ntz, pos int, value double"
+BINS = (
+    "run_id string, pos int, bin timestamp_ntz, on_start boolean, rows long, total double, n long,"
+    " top double, first_ts timestamp_ntz, last_ts timestamp_ntz"
+)
 COUNTERS = "run_id string, pos int, counter_path string, server string, metric string"
 RUNS = (
     "run_id string, size_bytes long, rows long, bad_rows long, counters int, null_cells long,"

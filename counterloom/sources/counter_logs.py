@@ -5,8 +5,10 @@ Headers are read on their own (first line of each file only); the data lines are
 then read by position, and only cells of wanted counters leave the scan.
 """
 
+import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyarrow import fs
@@ -25,6 +27,7 @@ from counterloom.shared import settle
 BROADCAST_BYTES = 64 * 1024 * 1024
 _BLOCK = 1024 * 1024
 _MAX_COLUMNS = 200_000
+_GLOB = re.compile(r"[\\{}\[\]*?]")
 
 
 def list_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -170,20 +173,23 @@ def parse_lines(
     return _by_group(_plan(layout), broadcast_bytes, scan)
 
 
+def file_paths(run_ids: list[str]) -> list[str]:
+    """Runs as paths for a reader: run names are URL-encoded, readers take globs."""
+    return [_GLOB.sub(r"\\\g<0>", unquote(run_id)) for run_id in run_ids]
+
+
 def read_samples(
     spark: SparkSession,
-    root: str,
+    source: str | list[str],
     layout: DataFrame,
-    run_ids: list[str] | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Log files to samples, by the layout of their run.
+    """Log files, under a folder or listed, to samples, by the layout of their run.
 
     Columns are read by position, so files with different headers share a scan.
     The scan reads only positions that some run of the layout wants; a run picks
     its own from them.
     """
-    chosen = F.lit(True) if run_ids is None else F.col("run_id").isin(run_ids)
 
     def scan(plan: DataFrame, here: Column) -> DataFrame:
         used = plan.select(F.explode(F.concat(F.array("time_pos"), "positions")).alias("pos"))
@@ -207,10 +213,10 @@ def read_samples(
             .option("pathGlobFilter", "*.csv")
             .option("escape", '"')
             .option("maxColumns", _MAX_COLUMNS)
-            .csv(root)
+            .csv(source)
             .select(F.col("_metadata.file_path").alias("run_id"), cells.alias("cells"))
         )
-        return _readings(rows.filter(chosen & here).join(F.broadcast(plan), "run_id"))
+        return _readings(rows.filter(here).join(F.broadcast(plan), "run_id"))
 
     return _by_group(_plan(layout), broadcast_bytes, scan)
 

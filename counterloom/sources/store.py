@@ -1,6 +1,7 @@
 """Ingested logs as parquet tables.
 
-``samples``, ``counters`` and ``runs`` (the manifest) hold one folder per batch.
+``samples``, ``bins`` (their five-minute statistics, which is what reports read),
+``counters`` and ``runs`` (the manifest) hold one folder per batch.
 The manifest folder of a batch is written last: a batch that failed half-way is
 not visible, and the next attempt overwrites it.
 """
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 
 from counterloom.operators.runs import new_runs, run_status
 from counterloom.operators.select import baseline_counters
-from counterloom.operators.series import find_cut, resample_mean
-from counterloom.schema import COUNTERS, RUNS, SAMPLES, TICK
+from counterloom.operators.series import find_cut
+from counterloom.operators.stats import baseline_bins, bin_samples, binned_bounds
+from counterloom.schema import BINS, COUNTERS, RUNS, SAMPLES, TICK
 from counterloom.shared import settle
 from counterloom.sources.counter_logs import (
     counter_dictionary,
+    file_paths,
     layouts,
     list_logs,
     read_headers,
@@ -27,19 +30,16 @@ from counterloom.sources.counter_logs import (
 
 FILES_PER_BATCH = 2000
 
-_TABLES = {"samples": SAMPLES, "counters": COUNTERS, "runs": RUNS}
+_TABLES = {"samples": SAMPLES, "bins": BINS, "counters": COUNTERS, "runs": RUNS}
 
 
 class Store(NamedTuple):
     samples: DataFrame
+    bins: DataFrame
     counters: DataFrame
     runs: DataFrame
 
 
-def _folder(store: str, table: str, batch: int) -> str:
-    return f"{store}/{table}/batch={batch}"
-
-
 def _read(spark: SparkSession, store: str, table: str) -> DataFrame:
     columns = f"{_TABLES[table]}, batch long"
     try:
@@ -63,62 +63,60 @@ def open_store(spark: SparkSession, store: str) -> Store:
     )
 
 
-def run_table(samples: DataFrame, layout: DataFrame, baseline: str) -> DataFrame:
+def run_table(
+    samples: DataFrame, bins: DataFrame, layout: DataFrame, baseline: str
+) -> DataFrame:
     """Manifest rows: size, row and cell counts, baseline, cut and status of each run."""
-    counters = counter_dictionary(layout)
-    tick = F.col("pos") == TICK
-    counts = samples.groupBy("run_id").agg(
-        F.count_if(tick & F.col("ts").isNotNull()).alias("rows"),
-        F.count_if(tick & F.col("ts").isNull()).alias("bad_rows"),
-        F.count_if(~tick).alias("readings"),
-        F.min("ts").alias("start_ts"),
+    is_tick = F.col("pos") == TICK
+    bad = samples.filter(is_tick & F.col("ts").isNull()).groupBy("run_id")
+    counts = bins.groupBy("run_id").agg(
+        F.sum(F.when(is_tick, F.col("rows"))).alias("rows"),
+        F.sum("n").alias("readings"),
     )
-    baselines = baseline_counters(counters, baseline)
-    series = samples.join(baselines.select("run_id", "pos"), ["run_id", "pos"])
-    cuts = find_cut(resample_mean(series, ["run_id"]), counts.select("run_id", "start_ts"))
-    runs = layout.join(counts, "run_id", "left").select(
-        "run_id",
-        "size_bytes",
-        F.coalesce("rows", F.lit(0)).alias("rows"),
-        F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"),
-        F.size("wanted").alias("counters"),
-        F.coalesce(F.col("rows") * F.size("wanted") - F.col("readings"), F.lit(0)).alias("null_cells"),
-        "time_column",
+    baselines = baseline_counters(counter_dictionary(layout), baseline)
+    cuts = find_cut(baseline_bins(bins, baselines), binned_bounds(bins))
+    cells = F.coalesce(F.col("rows"), F.lit(0)) * F.size("wanted")
+    runs = (
+        layout.join(counts, "run_id", "left")
+        .join(bad.agg(F.count("*").alias("bad_rows")), "run_id", "left")
+        .select(
+            "run_id",
+            "size_bytes",
+            F.coalesce("rows", F.lit(0)).alias("rows"),
+            F.coalesce("bad_rows", F.lit(0)).alias("bad_rows"),
+            F.size("wanted").alias("counters"),
+            (cells - F.coalesce("readings", F.lit(0))).alias("null_cells"),
+            "time_column",
+        )
     )
     return run_status(runs, baselines, cuts)
 
 
 def ingest_files(
     spark: SparkSession,
-    root: str,
     store: str,
     batch: int,
-    run_ids: list[str],
+    files: list[tuple[str, int]],
     patterns: list[str],
     baseline: str,
 ) -> None:
-    """Ingest the named files as one batch; repeating a batch replaces it."""
-    wanted = [*patterns, baseline]
-    logs = list_logs(spark, root).filter(F.col("run_id").isin(run_ids))
-    layout = settle(layouts(read_headers(logs), wanted), "layouts")
+    """Ingest files (run and size) as one batch; repeating a batch replaces it."""
+    logs = spark.createDataFrame(files, "run_id string, size_bytes long")
+    layout = settle(layouts(read_headers(logs), [*patterns, baseline]), "layouts")
+
+    def write(table: str, df: DataFrame) -> DataFrame:
+        path = f"{store}/{table}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     # Rebalancing by run gives files of the advisory size and splits large runs.
-    samples_at = _folder(store, "samples", batch)
-    (
-        read_samples(spark, root, layout, run_ids)
-        .hint("rebalance", "run_id")
-        .sortWithinPartitions("run_id", "pos", "ts")
-        .write.mode("overwrite")
-        .parquet(samples_at)
-    )
-    counter_dictionary(layout).write.mode("overwrite").parquet(_folder(store, "counters", batch))
-    samples = spark.read.parquet(samples_at)
-    (
-        run_table(samples, layout, baseline)
-        .withColumn("ingested_at", F.current_timestamp())
-        .write.mode("overwrite")
-        .parquet(_folder(store, "runs", batch))
-    )
+    scan = read_samples(spark, file_paths([run_id for run_id, _ in files]), layout)
+    ordered = scan.hint("rebalance", "run_id").sortWithinPartitions("run_id", "pos", "ts")
+    samples = write("samples", ordered.select("run_id", "ts", "pos", "value"))
+    bins = write("bins", bin_samples(samples))
+    write("counters", counter_dictionary(layout))
+    runs = run_table(samples, bins, layout, baseline)
+    write("runs", runs.withColumn("ingested_at", F.current_timestamp()))
 
 
 def ingest_new(
@@ -135,7 +133,7 @@ def ingest_new(
     batch = last_batch(spark, store)
     group = F.pmod(F.xxhash64("run_id"), F.lit(groups))
     for number in range(groups):
-        run_ids = [row.run_id for row in pending.filter(group == number).collect()]
-        if run_ids:
+        files = [tuple(row) for row in pending.filter(group == number).collect()]
+        if files:
             batch += 1
-            ingest_files(spark, root, store, batch, run_ids, patterns, baseline)
+            ingest_files(spark, store, batch, files, patterns, baseline)

@@ -29,9 +29,9 @@ def stream_logs(
     """
 
     def ingest(files: DataFrame, batch: int) -> None:
-        run_ids = [row.run_id for row in files.collect()]
-        if run_ids:
-            ingest_files(spark, root, store, batch, run_ids, patterns, baseline)
+        found = [tuple(row) for row in files.collect()]
+        if found:
+            ingest_files(spark, store, batch, found, patterns, baseline)
 
     return (
         spark.readStream.format("binaryFile")
@@ -40,7 +40,7 @@ def stream_logs(
         .option("pathGlobFilter", "*.csv")
         .option("maxFilesPerTrigger", files_per_batch)
         .load(root)
-        .select(F.col("_metadata.file_path").alias("run_id"))
+        .select(F.col("_metadata.file_path").alias("run_id"), F.col("length").alias("size_bytes"))
         .writeStream.foreachBatch(ingest)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
