@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 from counterloom.functions.numbers import bytes_to_mbps, is_byte_rate, mbps_name
 from counterloom.operators.select import match_patterns
 from counterloom.operators.series import BIN_MINUTES, bin_start
+from counterloom.shared import by_size
 
 HEAD = "head"
 TAIL = "tail"
 
 
+def _end_width():
+    return F.length("run_id") + 64
+
+
 def run_bounds(samples: DataFrame) -> DataFrame:
     return samples.groupBy("run_id").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")
@@ -38,10 +43,9 @@ def drop_all_null_rows(wide: DataFrame, counters: list[str]) -> DataFrame:
 def keep_rows(samples: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
     """Samples up to the cut, or from the cut on; both include the cut itself.
 
-    ``cuts`` has one row per run. Pass a settled table: the join then goes by its
-    true size, broadcast when small and with skew handling beyond that.
+    ``cuts``, one row per run, should be settled: its size decides the join.
     """
-    ends = cuts.select("run_id", "fall_ts")
+    ends = by_size(cuts.select("run_id", "fall_ts"), _end_width())
     return samples.join(ends, "run_id").filter(_inside(keep, F.col("ts"))).drop("fall_ts")
 
 
@@ -97,7 +101,7 @@ def binned_counters(bins: DataFrame) -> DataFrame:
 
 def kept_stats(bins: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
     """``counter_stats`` of the samples ``keep_rows`` would keep, from bins."""
-    ends = cuts.select("run_id", "fall_ts", "start_ts", "end_ts")
+    ends = by_size(cuts.select("run_id", "fall_ts", "start_ts", "end_ts"), _end_width())
     inside = _inside(keep, F.col("bin"))
     if keep == HEAD:
         inside = inside & ((F.col("bin") < F.col("fall_ts")) | F.col("on_start"))

@@ -3,7 +3,10 @@
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 _local_folder: str | None = None
 
@@ -34,3 +37,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = new_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def total_bytes(df: DataFrame, width: Column) -> int:
+    """Sum of the row widths of a settled, small table."""
+    return df.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")).first().bytes
+
+
+def by_size(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if it is small enough to go to every executor.
+
+    Otherwise the join is left to Catalyst, which shuffles and splits skewed keys.
+    """
+    return F.broadcast(df) if total_bytes(df, width) <= limit else df

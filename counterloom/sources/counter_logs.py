@@ -8,9 +8,10 @@ then read by position, and only cells of wanted counters leave the scan.
 import re
 from collections.abc import Callable, Iterator
 from functools import reduce
+from math import ceil
 from urllib.parse import unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,8 @@ from counterloom.functions.paths import contains_any
 from counterloom.functions.times import parse_time
 from counterloom.operators.select import describe_counters
 from counterloom.schema import TICK
-from counterloom.shared import settle
+from counterloom.shared import BROADCAST_BYTES, settle, total_bytes
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-_BLOCK = 1024 * 1024
 _MAX_COLUMNS = 200_000
 _GLOB = re.compile(r"[\\{}\[\]*?]")
 
@@ -44,33 +43,35 @@ def list_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _first_line(uri: str) -> str:
-    system, path = fs.FileSystem.from_uri(uri)
-    blocks = []
-    with system.open_input_stream(path) as stream:
-        while block := stream.read(_BLOCK):
-            blocks.append(block)
-            if b"\n" in block:
-                break
-    line = b"".join(blocks).split(b"\n", 1)[0]
-    return line.decode("utf-8-sig", errors="replace").rstrip("\r")
+def _header_reader():
+    """Reader of first lines; a closure travels whole, so executors need no package."""
 
+    def first_line(uri: str) -> str:
+        system, path = fs.FileSystem.from_uri(uri)
+        blocks = []
+        with system.open_input_stream(path) as stream:
+            while block := stream.read(1024 * 1024):
+                blocks.append(block)
+                if b"\n" in block:
+                    break
+        line = b"".join(blocks).split(b"\n", 1)[0]
+        return line.decode("utf-8-sig", errors="replace").rstrip("\r")
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for files in batches:
-        for _, one in files.iterrows():
-            yield pd.DataFrame(
-                {
-                    "run_id": [one.run_id],
-                    "size_bytes": [one.size_bytes],
-                    "header": [_first_line(one.run_id)],
-                }
-            )
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run_id, size in zip(*[column.to_pylist() for column in batch.columns]):
+                yield pa.RecordBatch.from_pydict(
+                    {"run_id": [run_id], "size_bytes": [size], "header": [first_line(run_id)]}
+                )
+
+    return read
 
 
 def read_headers(logs: DataFrame) -> DataFrame:
     """``run_id, size_bytes, header``: opens each file, stops after its first line."""
-    return logs.mapInPandas(_first_lines, "run_id string, size_bytes long, header string")
+    return logs.select("run_id", "size_bytes").mapInArrow(
+        _header_reader(), "run_id string, size_bytes long, header string"
+    )
 
 
 def layouts(headers: DataFrame, patterns: list[str]) -> DataFrame:
@@ -139,14 +140,14 @@ def _by_group(plan: DataFrame, limit: int, scan: Callable[[DataFrame, Column], D
 
     Lines are far too wide to shuffle, so the plan goes to the lines. Its size is
     summed first; beyond ``limit`` bytes the runs are split by hash of their name
-    into parts that each stay below it. The name of a file's run is its path, so
+    into parts of about half of it. The name of a file's run is its path, so
     each scan lists the files of its own runs only.
     """
     width = F.length("run_id") + F.length("time_column") + 8 * F.size("positions") + 64
-    total = plan.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first().bytes
-    groups = total // limit + 1
-    if groups == 1:
+    total = total_bytes(plan, width)
+    if total <= limit:
         return scan(plan, F.lit(True))
+    groups = 2 * ceil(total / limit)
     group = F.pmod(F.xxhash64("run_id"), F.lit(groups))
     return reduce(
         DataFrame.unionByName,
