@@ -14,10 +14,21 @@ _MONTH_FIRST = r"^\s*(\d{1,2})/(\d{1,2})/(\d{4})\s+(\d{1,2}:\d{1,2}:\d{1,2}(?:\.
 
 
 def parse_time(text: Column) -> Column:
-    """``MM/dd/yyyy HH:mm:ss.SSS`` or ISO text as TIMESTAMP_NTZ; other text as null."""
-    iso = F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2 $4")
-    dated = F.contains(text, F.lit("/")) | F.contains(text, F.lit("-"))
-    return F.when(dated, iso.try_cast("timestamp_ntz"))
+    """``MM/dd/yyyy HH:mm:ss.SSS`` or ISO text as TIMESTAMP_NTZ; other text as null.
+
+    Full-width dates, as logs have them, are rearranged without a regex.
+    """
+
+    def part(start: int, length: int) -> Column:
+        return F.substring(text, start, length)
+
+    full_width = (part(3, 1) == "/") & (part(6, 1) == "/")
+    iso = (
+        F.when(full_width, F.concat(part(7, 4), F.lit("-"), part(1, 2), F.lit("-"), part(4, 2), part(11, 99)))
+        .when(F.contains(text, F.lit("/")), F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2 $4"))
+        .when(F.contains(text, F.lit("-")), text)
+    )
+    return iso.try_cast("timestamp_ntz")
 
 
 def day_label(ts: Column) -> Column:

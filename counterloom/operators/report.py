@@ -1,32 +1,60 @@
 """Labels, combination of runs, and the wide report."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from counterloom.functions.numbers import round_half_even
 from counterloom.functions.paths import path_metric
 from counterloom.functions.times import column_label
-from counterloom.operators.stats import HEAD
+from counterloom.operators.select import describe_counters, select_by_substring
+from counterloom.operators.stats import HEAD, add_mbps_rows
 from counterloom.schema import AVG, MAX
 
 MAX_COLUMNS = 10_000
 
 
-def labelled_stats(stats: DataFrame, keep: str = HEAD) -> DataFrame:
-    """Two rows (average, maximum) per statistic, with the label of its column."""
+def _stat_rows(stats: DataFrame, day: Column, start: Column, end: Column) -> DataFrame:
     pairs = F.array(
         F.struct(F.lit(AVG).alias("stat"), F.col("avg").alias("value")),
         F.struct(F.lit(MAX).alias("stat"), F.col("max").alias("value")),
     )
-    start, end = ("start_ts", "fall_ts") if keep == HEAD else ("fall_ts", "end_ts")
-    label = column_label(
-        F.col("fall_ts"), F.col("server"), F.col("stat"), F.col(start), F.col(end)
-    )
+    label = column_label(day, F.col("server"), F.col("stat"), start, end)
     return stats.select("*", F.inline(pairs)).select(
         "run_id", "pos", "server", "metric", "stat", label.alias("label"), "value"
     )
 
 
+def labelled_stats(stats: DataFrame, keep: str = HEAD) -> DataFrame:
+    """Two rows (average, maximum) per statistic, with the label of its column."""
+    start, end = ("start_ts", "fall_ts") if keep == HEAD else ("fall_ts", "end_ts")
+    return _stat_rows(stats, F.col("fall_ts"), F.col(start), F.col(end))
+
+
+def pattern_statistics(
+    samples: DataFrame, pattern: str, day: Column, start: Column, end: Column
+) -> DataFrame:
+    """Labelled statistics of the counters of one pattern, for a given time range.
+
+    ``day``, ``start`` and ``end`` may use ``start_ts`` and ``end_ts`` of the run's
+    matching samples.
+    """
+    keys = ["run_id", "pos", "counter_path"]
+    found = (
+        select_by_substring(samples, pattern)
+        .groupBy(*keys)
+        .agg(
+            F.avg("value").alias("avg"),
+            F.max("value").alias("max"),
+            F.min("ts").alias("first_ts"),
+            F.max("ts").alias("last_ts"),
+        )
+    )
+    run = Window.partitionBy("run_id")
+    bounds = {"start_ts": F.min("first_ts").over(run), "end_ts": F.max("last_ts").over(run)}
+    named = add_mbps_rows(describe_counters(found.filter(F.col("avg").isNotNull()).withColumns(bounds)))
+    return _stat_rows(named, day, start, end)
+
+
 def first_by_label(stats: DataFrame) -> DataFrame:
     """One value per metric and label: that of the first run and counter."""
     return (
@@ -40,7 +68,7 @@ def round_report(cells: DataFrame) -> DataFrame:
     return cells.withColumn("value", round_half_even(F.col("value")))
 
 
-def baseline_first(metric, baseline: str):
+def baseline_first(metric: Column, baseline: str) -> list[Column]:
     """Sort keys that put the baseline row on top and the others in name order.
 
     ``baseline`` may be given with or without its server.

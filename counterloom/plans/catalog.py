@@ -339,6 +339,12 @@ def _statistics(spark, folder, keep=stats.HEAD) -> DataFrame:
     return run_statistics(samples, baseline=BASELINE, keep=keep)
 
 
+def pattern_statistics(spark, folder):
+    """Byte rates of each day, labelled with the span of their samples."""
+    start, end = F.col("start_ts"), F.col("end_ts")
+    return reports.pattern_statistics(_samples(spark, folder), "Bytes Total/sec", end, start, end)
+
+
 def run_counts(spark, folder):
     return stats.run_counts(_statistics(spark, folder))
 
@@ -570,6 +576,7 @@ QUERIES = {
     "counter_stats_nonnull": counter_stats_nonnull,
     "pooled_stats": pooled_stats,
     "mbps_rows": mbps_rows,
+    "pattern_statistics": pattern_statistics,
     "run_counts": run_counts,
     "first_by_label": first_by_label,
     "report_long": report_long,

@@ -272,6 +272,24 @@ SELECT * FROM found
 UNION ALL
 SELECT run_id, pos, counter_path, avg * 8 / 1000000, max * 8 / 1000000, server, replace(metric, 'Bytes', 'Mbps')
 FROM found WHERE contains(lower(metric), 'bytes total/sec')""",
+    "pattern_statistics": _with(_SAMPLES)
+    + f""", matched AS (
+  SELECT *, min(ts) OVER (PARTITION BY run_id) AS start_ts, max(ts) OVER (PARTITION BY run_id) AS end_ts
+  FROM samples WHERE contains(counter_path, 'Bytes Total/sec')),
+found AS (
+  SELECT run_id, pos, start_ts, end_ts, avg(value) AS avg, max(value) AS max,
+    {_SERVER.format("counter_path")} AS server, {_METRIC.format("counter_path")} AS metric
+  FROM matched GROUP BY run_id, pos, counter_path, start_ts, end_ts),
+widened AS (
+  SELECT * FROM found
+  UNION ALL
+  SELECT run_id, pos, start_ts, end_ts, avg * 8 / 1000000, max * 8 / 1000000, server,
+    replace(metric, 'Bytes', 'Mbps') FROM found)
+SELECT run_id, pos, server, metric, 'Avg.' AS stat,
+  {_label("server", "'Avg.'", "start_ts", "end_ts", "end_ts")} AS label, avg AS value FROM widened
+UNION ALL
+SELECT run_id, pos, server, metric, 'Max.', {_label("server", "'Max.'", "start_ts", "end_ts", "end_ts")}, max
+FROM widened""",
     "run_counts": _with(*_HEAD)
     + "SELECT count(DISTINCT run_id) AS runs, count(*) AS statistics FROM statistics",
     "first_by_label": _with(*_HEAD) + "SELECT * FROM firsts",

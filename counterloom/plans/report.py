@@ -20,8 +20,8 @@ from counterloom.operators.stats import (
     binned_counters,
     kept_stats,
 )
-from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK
-from counterloom.shared import settle
+from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK, TICK
+from counterloom.shared import by_size, settle
 from counterloom.sources.counter_logs import counter_dictionary, read_counter_logs
 from counterloom.sources.store import open_store
 
@@ -70,6 +70,14 @@ def wide_report(statistics: DataFrame, baseline: str = DEFAULT_BASELINE) -> Data
     return pivot_report(settle(report_cells(statistics), "cells"), baseline)
 
 
+def extract_logs(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
+    """Readings of the matching counters of all logs under ``root``, with their names."""
+    layout, samples = read_counter_logs(spark, root, patterns)
+    counters = counter_dictionary(layout)
+    names = by_size(counters, F.length("run_id") + 3 * F.length("counter_path"))
+    return samples.filter(F.col("pos") != TICK).join(names, ["run_id", "pos"])
+
+
 def log_statistics(
     spark: SparkSession,
     root: str,
