@@ -23,8 +23,26 @@ LINE_COUNTERS = {
 }
 
 
+# Declared, so that opening a table runs no job to infer them.
+_SCHEMAS = {
+    "events": (
+        "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ),
+    "lineitem": (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double,"
+        " l_extendedprice double, l_discount double, l_tax double, l_returnflag string,"
+        " l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "orders": (
+        "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double,"
+        " o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+}
+
+
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def hundredths(value: Column) -> Column:
