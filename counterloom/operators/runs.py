@@ -18,14 +18,17 @@ def run_status(runs: DataFrame, baselines: DataFrame, cuts: DataFrame) -> DataFr
     """
     status = (
         F.when(F.col("time_column").isNull(), NO_TIME_COLUMN)
-        .when(F.coalesce(F.col("rows"), F.lit(0)) == 0, EMPTY)
+        .when(F.col("rows") == 0, EMPTY)
         .when(F.col("baseline_path").isNull(), NO_BASELINE)
         .when(F.col("cut_status").isNull(), NO_NONZERO)
         .otherwise(F.col("cut_status"))
     )
     return (
-        runs.join(baselines.select("run_id", "baseline_path"), "run_id", "left")
-        .join(cuts.select("run_id", "fall_ts", F.col("status").alias("cut_status")), "run_id", "left")
+        runs.withColumn("rows", F.coalesce("rows", F.lit(0)))
+        .join(baselines.select("run_id", "baseline_path"), "run_id", "left")
+        .join(
+            cuts.select("run_id", "fall_ts", F.col("status").alias("cut_status")), "run_id", "left"
+        )
         .withColumn("status", status)
         .drop("cut_status")
     )

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 from counterloom.functions.numbers import bytes_to_mbps, is_byte_rate, mbps_name
 from counterloom.operators.select import match_patterns
 from counterloom.operators.series import BIN_MINUTES, bin_start
-from counterloom.shared import by_size
+from counterloom.shared import join_small
 
 HEAD = "head"
 TAIL = "tail"
 
 
-def _end_width():
+def _run_width():
     return F.length("run_id") + 64
 
 
@@ -45,8 +45,9 @@ def keep_rows(samples: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFram
 
     ``cuts``, one row per run, should be settled: its size decides the join.
     """
-    ends = by_size(cuts.select("run_id", "fall_ts"), _end_width())
-    return samples.join(ends, "run_id").filter(_inside(keep, F.col("ts"))).drop("fall_ts")
+    ends = cuts.select("run_id", "fall_ts")
+    joined = join_small(samples, ends, ["run_id"], _run_width())
+    return joined.filter(_inside(keep, F.col("ts"))).drop("fall_ts")
 
 
 def _inside(keep, ts):
@@ -79,9 +80,12 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
 
 
 def baseline_bins(bins: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Bin means of each run's baseline counter (``run_id, bin, v``)."""
+    """Bin means of each run's baseline counter (``run_id, bin, v``).
+
+    ``baselines``, one row per run, should be settled: its size decides the join.
+    """
     return (
-        bins.join(baselines.select("run_id", "pos"), ["run_id", "pos"])
+        join_small(bins, baselines.select("run_id", "pos"), ["run_id", "pos"], _run_width())
         .groupBy("run_id", "bin")
         .agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("v"))
     )
@@ -101,12 +105,12 @@ def binned_counters(bins: DataFrame) -> DataFrame:
 
 def kept_stats(bins: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
     """``counter_stats`` of the samples ``keep_rows`` would keep, from bins."""
-    ends = by_size(cuts.select("run_id", "fall_ts", "start_ts", "end_ts"), _end_width())
+    ends = cuts.select("run_id", "fall_ts", "start_ts", "end_ts")
     inside = _inside(keep, F.col("bin"))
     if keep == HEAD:
         inside = inside & ((F.col("bin") < F.col("fall_ts")) | F.col("on_start"))
     return (
-        bins.join(ends, "run_id")
+        join_small(bins, ends, ["run_id"], _run_width())
         .filter(inside)
         .groupBy("run_id", "pos", "fall_ts", "start_ts", "end_ts")
         .agg(

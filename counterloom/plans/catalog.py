@@ -282,7 +282,7 @@ def _day_bins(spark, folder) -> DataFrame:
 def _baseline_series(bins: DataFrame) -> DataFrame:
     """Bin means of the first baseline counter of each run."""
     first = select.baseline_counters(stats.binned_counters(bins), BASELINE)
-    return stats.baseline_bins(bins, first)
+    return stats.baseline_bins(bins, settle(first, "baselines"))
 
 
 def pct_change(spark, folder):
@@ -400,7 +400,9 @@ def _listed_runs(spark, folder) -> DataFrame:
 def _run_status(spark, folder) -> DataFrame:
     samples = _user_days(spark, folder)
     bins = settle(stats.bin_samples(samples), "bins")
-    baselines = select.baseline_counters(stats.binned_counters(bins), BASELINE)
+    baselines = settle(
+        select.baseline_counters(stats.binned_counters(bins), BASELINE), "baselines"
+    )
     cuts = series.find_cut(stats.baseline_bins(bins, baselines), stats.binned_bounds(bins))
     rows = bins.groupBy("run_id").agg(F.sum("rows").alias("rows"))
     listed = _listed_runs(spark, folder).join(rows, "run_id", "left")

@@ -128,7 +128,7 @@ _STATUS = f"""counters AS (SELECT DISTINCT run_id, pos, counter_path FROM user_s
 {_CHANGES},
 {_CUTS.format(5)},
 statuses AS (
-  SELECT run_id, time_column, rows, baseline_path, fall_ts,
+  SELECT run_id, time_column, coalesce(rows, 0) AS rows, baseline_path, fall_ts,
     CASE WHEN time_column IS NULL THEN 'no_time_column' WHEN coalesce(rows, 0) = 0 THEN 'empty'
       WHEN baseline_path IS NULL THEN 'no_baseline' WHEN c.status IS NULL THEN 'no_nonzero'
       ELSE c.status END AS status
@@ -300,7 +300,7 @@ FROM widened""",
     + "SELECT * FROM cells WHERE contains(label, 'SRV1' || chr(10)) ORDER BY value DESC, metric, label",
     "run_status": _with(_SAMPLES, _RUNS, _STATUS) + "SELECT * FROM statuses",
     "ingest_report": _with(_SAMPLES, _RUNS, _STATUS)
-    + "SELECT status, count(*) AS runs, coalesce(sum(rows), 0) AS rows FROM statuses GROUP BY status",
+    + "SELECT status, count(*) AS runs, CAST(coalesce(sum(rows), 0) AS BIGINT) AS rows FROM statuses GROUP BY status",
     "new_files_antijoin": _with(_SAMPLES, _RUNS)
     + """SELECT * FROM listed
 WHERE run_id NOT IN (SELECT run_id FROM user_samples WHERE ts < TIMESTAMP '2024-01-16')""",

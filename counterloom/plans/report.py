@@ -21,7 +21,7 @@ from counterloom.operators.stats import (
     kept_stats,
 )
 from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK, TICK
-from counterloom.shared import by_size, settle
+from counterloom.shared import join_small, settle
 from counterloom.sources.counter_logs import counter_dictionary, read_counter_logs
 from counterloom.sources.store import open_store
 
@@ -35,7 +35,8 @@ def bin_statistics(
 ) -> DataFrame:
     """Labelled average and maximum per run and counter, trimmed at each run's cut."""
     bounds = binned_bounds(bins)
-    series = baseline_bins(bins, baseline_counters(counters, baseline))
+    baselines = settle(baseline_counters(counters, baseline), "baselines")
+    series = baseline_bins(bins, baselines)
     cuts = find_cut(series, bounds, minutes).filter(F.col("status") == OK)
     cuts = settle(cuts.join(bounds.select("run_id", "end_ts"), "run_id"), "cuts")
     names = describe_counters(counters.select("run_id", "pos", "counter_path"))
@@ -73,9 +74,9 @@ def wide_report(statistics: DataFrame, baseline: str = DEFAULT_BASELINE) -> Data
 def extract_logs(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
     """Readings of the matching counters of all logs under ``root``, with their names."""
     layout, samples = read_counter_logs(spark, root, patterns)
-    counters = counter_dictionary(layout)
-    names = by_size(counters, F.length("run_id") + 3 * F.length("counter_path"))
-    return samples.filter(F.col("pos") != TICK).join(names, ["run_id", "pos"])
+    names = settle(counter_dictionary(layout), "counters")
+    width = F.length("run_id") + 3 * F.length("counter_path") + 64
+    return join_small(samples.filter(F.col("pos") != TICK), names, ["run_id", "pos"], width)
 
 
 def log_statistics(

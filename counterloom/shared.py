@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+SALTS = 64
 
 _local_folder: str | None = None
 
@@ -44,9 +45,17 @@ def total_bytes(df: DataFrame, width: Column) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")).first().bytes
 
 
-def by_size(df: DataFrame, width: Column, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if it is small enough to go to every executor.
+def join_small(big: DataFrame, small: DataFrame, keys: list[str], width: Column) -> DataFrame:
+    """Inner join with a settled table that has one row per key.
 
-    Otherwise the join is left to Catalyst, which shuffles and splits skewed keys.
+    It is broadcast while it is small. Beyond that both sides are shuffled, and
+    every key is spread over ``SALTS`` tasks by a hash of the large side's row:
+    skew handling alone would not split a hot key here, because aggregates by
+    that key usually follow and rely on its partitioning.
     """
-    return F.broadcast(df) if total_bytes(df, width) <= limit else df
+    if total_bytes(small, width) <= BROADCAST_BYTES:
+        return big.join(F.broadcast(small), keys)
+    salt = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    spread = big.withColumn("salt", salt).join(small.withColumn("salt", copies), [*keys, "salt"])
+    return spread.drop("salt")

@@ -73,7 +73,7 @@ def run_table(
         F.sum(F.when(is_tick, F.col("rows"))).alias("rows"),
         F.sum("n").alias("readings"),
     )
-    baselines = baseline_counters(counter_dictionary(layout), baseline)
+    baselines = settle(baseline_counters(counter_dictionary(layout), baseline), "baselines")
     cuts = find_cut(baseline_bins(bins, baselines), binned_bounds(bins))
     cells = F.coalesce(F.col("rows"), F.lit(0)) * F.size("wanted")
     runs = (
