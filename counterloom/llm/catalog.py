@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from counterloom.llm.line_crf import line_quality
 from counterloom.llm.quality_rules import quality_rules
+from counterloom.llm.simhash import near_duplicates
+from counterloom.llm.suffix_dedup import passage_digests
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,12 +20,22 @@ def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_digests(_table(spark, folder, "documents"))
+
+
+def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_table(spark, folder, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_simhash": op8_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
 
