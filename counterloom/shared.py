@@ -40,6 +40,17 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a settled table that nothing will read any more."""
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def total_bytes(df: DataFrame, width: Column) -> int:
     """Sum of the row widths of a settled, small table."""
     return df.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")).first().bytes
