@@ -2,12 +2,16 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from counterloom.llm.bpe import round_trip
 from counterloom.llm.line_crf import line_quality
+from counterloom.llm.packing import pack_documents
 from counterloom.llm.quality_rules import quality_rules
 from counterloom.llm.simhash import near_duplicates
 from counterloom.llm.suffix_dedup import passage_digests
+from counterloom.llm.warc import resolve_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,22 +24,41 @@ def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(
+        _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
+    )
+
+
 def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passage_digests(_table(spark, folder, "documents"))
 
 
+def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return round_trip(
+        _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    )
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op9_warc_revisits(spark: SparkSession, folder: str) -> DataFrame:
+    return resolve_revisits(_table(spark, folder, "pages"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
+    "op4_packing": op4_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
+    "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
 }
 
