@@ -5,8 +5,11 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from counterloom.llm.block_topk import top_products
 from counterloom.llm.bpe import round_trip
+from counterloom.llm.hilbert import document_shards
 from counterloom.llm.line_crf import line_quality
+from counterloom.llm.oracle import TOP_PRODUCTS_SQL
 from counterloom.llm.packing import pack_documents
 from counterloom.llm.quality_rules import quality_rules
 from counterloom.llm.simhash import near_duplicates
@@ -24,6 +27,14 @@ def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op2_hilbert_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return document_shards(_table(spark, folder, "documents"), ["lang", "source", "n_chars"])
+
+
+def op3_block_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return top_products(_table(spark, folder, "embeddings"))
+
+
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(
         _table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json")
@@ -54,6 +65,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
+    "op2_hilbert_shards": op2_hilbert_shards,
+    "op3_block_topk": op3_block_topk,
     "op4_packing": op4_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_bpe": op7_bpe,
@@ -62,4 +75,4 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_block_topk": TOP_PRODUCTS_SQL}
