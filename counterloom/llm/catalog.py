@@ -14,6 +14,7 @@ from counterloom.llm.packing import pack_documents
 from counterloom.llm.quality_rules import quality_rules
 from counterloom.llm.simhash import near_duplicates
 from counterloom.llm.suffix_dedup import passage_digests
+from counterloom.llm.url_templates import judge_urls
 from counterloom.llm.warc import resolve_revisits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +46,10 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return passage_digests(_table(spark, folder, "documents"))
 
 
+def op6_url_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_table(spark, folder, "pages"))
+
+
 def op7_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return round_trip(
         _table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
@@ -69,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op3_block_topk": op3_block_topk,
     "op4_packing": op4_packing,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_url_templates": op6_url_templates,
     "op7_bpe": op7_bpe,
     "op8_simhash": op8_simhash,
     "op9_warc_revisits": op9_warc_revisits,
