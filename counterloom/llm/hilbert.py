@@ -176,10 +176,17 @@ def write_shards(
     text: str = "text",
 ) -> None:
     """All columns of ``df`` as parquet, one folder per shard, rows in the order of slots."""
-    sized = df.withColumn("_bytes", text_bytes(text))
-    cut = cut_runs(curve(sized, dimensions), "_bytes", ties, shards, law).drop("_bytes")
+    axes = [F.col(name).alias(f"_dim{i}") for i, name in enumerate(dimensions)]
+    last = [F.col(name).alias(f"_tie{i}") for i, name in enumerate(ties)]
+    row = F.struct(*[F.col(c) for c in df.columns]).alias("_row")
+    curved = curve(
+        df.select(row, text_bytes(text).alias("_bytes"), *axes, *last),
+        [f"_dim{i}" for i in range(len(axes))],
+    )
+    cut = cut_runs(curved, "_bytes", [f"_tie{i}" for i in range(len(last))], shards, law)
     placed = cut.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
-    placed.write.partitionBy("shard").parquet(folder)
+    placed = placed.select(F.col("shard").alias("hilbert_shard"), "_row.*")
+    placed.write.partitionBy("hilbert_shard").parquet(folder)
 
 
 def text_bytes(text: str) -> Column:

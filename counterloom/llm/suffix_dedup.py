@@ -27,6 +27,7 @@ counts as larger than every id. Only the named columns are read.
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 from math import ceil
 
 import numpy as np
@@ -227,41 +228,38 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeated_suffixes(
-    suffixes: DataFrame, tasks: int, group: int = GROUP
-) -> DataFrame:
+def _heavy(keyed: DataFrame, group: int) -> DataFrame:
+    """Keys of more than ``group`` suffixes."""
+    counts = keyed.groupBy("key").count().filter(F.col("count") > group)
+    return settle(counts.select("key"), "prefixes")
+
+
+def repeated_suffixes(suffixes: DataFrame, tasks: int, group: int = GROUP) -> DataFrame:
     """``row, pos`` of all suffixes whose window also starts in a smaller document.
 
     ``tasks``: over how many tasks the groups are dealt.
     """
-    grown = suffixes.withColumn("key", _prefix(1)).withColumn("depth", F.lit(1))
-    for depth in range(1, DEPTH + 1):
-        counts = grown.filter(F.col("depth") == depth).groupBy("key").count()
-        heavy = settle(counts.filter(F.col("count") > group).select("key"), "prefixes")
-        if heavy.isEmpty():
-            break
-        marks = heavy.withColumn("longer", F.lit(True))
-        longer = F.col("longer").isNotNull()
-        deeper = _prefix(min(depth + 1, DEPTH))
-        grown = (
-            grown.join(marks, "key", "left")
-            .withColumn("key", F.when(longer, deeper).otherwise(F.col("key")))
-            .withColumn("depth", F.when(longer, depth + 1).otherwise(F.col("depth")))
-            .drop("longer")
-        )
-    whole = grown.filter(F.col("depth") > DEPTH)
-    firsts = whole.groupBy("head", "mid", "tail").agg(F.min("doc").alias("first"))
+    columns = ["doc", "row", "pos", "head", "mid", "tail"]
+    keyed = suffixes.withColumn("key", _prefix(1))
+    heavy = _heavy(keyed, group)
+    # Only suffixes below a frequent letter are looked at again, letter by letter.
+    deep = settle(keyed.join(heavy, "key", "left_semi"), "deep-suffixes")
+    parts = [keyed.join(heavy, "key", "left_anti")]
+    for depth in range(2, DEPTH + 1):
+        deep = deep.withColumn("key", _prefix(depth))
+        heavy = _heavy(deep, group)
+        parts.append(deep.join(heavy, "key", "left_anti"))
+        deep = deep.join(heavy, "key", "left_semi")
+    # What is left are whole windows: nodes of their own.
+    firsts = deep.groupBy("head", "mid", "tail").agg(F.min("doc").alias("first"))
     frequent = (
-        whole.join(firsts, ["head", "mid", "tail"])
+        deep.join(firsts, ["head", "mid", "tail"])
         .filter(F.col("first") < F.col("doc"))
         .select("row", "pos")
     )
-    trees = (
-        grown.filter(F.col("depth") <= DEPTH)
-        .repartition(tasks, "key")
-        .select("doc", "row", "pos", "head", "mid", "tail")
-        .mapInArrow(_repeats, "row long, pos int")
-    )
+    grouped = reduce(DataFrame.unionByName, [part.select("key", *columns) for part in parts])
+    trees = grouped.repartition(tasks, "key").select(*columns)
+    trees = trees.mapInArrow(_repeats, "row long, pos int")
     return trees.unionByName(frequent)
 
 
