@@ -23,7 +23,9 @@ Defined cases: a null text is empty and gives one piece, the end token alone.
 Repeated rows are packed as often as they occur. Only the named columns are read.
 """
 
+import json
 import os
+import re
 import zlib
 from functools import cache
 from itertools import accumulate
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from counterloom.llm.bpe import byte_letters
 from counterloom.llm.ship import ship
 from counterloom.shared import settle
 
@@ -45,7 +48,7 @@ CAPACITY = 4096
 END = 1
 GROUPS = 1024
 SMALL = 8
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _TEXTS = 64
 
 
@@ -56,11 +59,21 @@ class Run(NamedTuple):
     count: int
 
 
+# Fixed values of the word-level format: its steps and how it cuts a text.
+_STEPS = ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+# Words of these letters are in normal form, and the pattern has a short form for them.
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+")
+_CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+
+
 class WordIds:
-    """Ids of words from a tokenizer that treats words between blanks on their own.
+    """Ids of texts from a tokenizer file, remembering those of frequent words.
 
-    Its rules drop white space and never look across it, so a text's ids are those
-    of its words. Frequent words are kept with their ids, up to a bound.
+    The word-level format drops white space and never looks across it, so a text's
+    ids are those of its words, and a plain word's those of its pieces. All ids come
+    from the tokenizers library; a file of another format is given whole texts.
     """
 
     def __init__(self, path: str):
@@ -69,24 +82,53 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        steps = [
+            step
+            for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
+            for step in (spec.get(part) or {}).get(inner, [])
+        ]
+        patterns = [s["pattern"].get("Regex") for s in steps if s["type"] == "Split"]
+        self.by_word = [s["type"] for s in steps] == _STEPS and patterns == [_PATTERN]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _piece(self, piece: str) -> bytes:
+        mapped = "".join([self.letters[byte] for byte in piece.encode()])
+        ids = [token.id for token in self.tokenizer.model.tokenize(mapped)]
+        packed = np.array(ids, dtype="<u4").tobytes()
+        if len(self.pieces) < KEPT_WORDS:
+            self.pieces[piece] = packed
+        return packed
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _PLAIN.fullmatch(text) and not any(name in word for name in self.special):
+            get = self.pieces.get
+            return b"".join([get(p) or self._piece(p) for p in _CUT.findall(text.lower())])
+        return self._whole([text])[0]
 
     def pack(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        lists = [text.split() for text in texts]
-        fresh = list({word for words in lists for word in words if word not in self.known})
-        encoded = self.tokenizer.encode_batch_fast(
-            [word.decode() for word in fresh], add_special_tokens=False
-        )
-        found = {w: np.array(e.ids, dtype="<u4").tobytes() for w, e in zip(fresh, encoded)}
-        if len(self.known) < KEPT_WORDS:
-            self.known |= found
-        known, other = self.known.get, found.get
-        out = []
-        for words in lists:
+        if not self.by_word:
+            return self._whole([text.decode() for text in texts])
+        known, out = self.known.get, []
+        for text in texts:
+            words = text.split()
             ids = [known(word) for word in words]
             if None in ids:
-                ids = [other(word) if x is None else x for word, x in zip(words, ids)]
+                for i, found in enumerate(ids):
+                    if found is None:
+                        ids[i] = self._word(words[i])
+                        if len(self.known) < KEPT_WORDS:
+                            self.known[words[i]] = ids[i]
             out.append(b"".join(ids))
         return out
 
