@@ -3,7 +3,7 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_NUMBER = r"^[ \t\r\n]*[0-9+.eE-]+[ \t\r\n]*$"
+_NUMBER_CHARACTERS = "0123456789+-.eE \t\r\n"
 _INFINITY = float("inf")
 
 
@@ -13,7 +13,8 @@ def plain_double(text: Column) -> Column:
     Spark's cast drops the blanks, but also takes type suffixes, hex floats and
     names such as NaN; only digits, signs, a point and an exponent may reach it.
     """
-    return F.when(F.rlike(text, F.lit(_NUMBER)), text.try_cast("double"))
+    plain = F.translate(text, _NUMBER_CHARACTERS, "") == ""
+    return F.when(plain, text.try_cast("double"))
 
 
 def is_finite(value: Column) -> Column:

@@ -22,9 +22,11 @@ def parse_time(text: Column) -> Column:
     def part(start: int, length: int) -> Column:
         return F.substring(text, start, length)
 
+    rest = F.substring(text, F.lit(11), F.length(text))
+
     full_width = (part(3, 1) == "/") & (part(6, 1) == "/")
     iso = (
-        F.when(full_width, F.concat(part(7, 4), F.lit("-"), part(1, 2), F.lit("-"), part(4, 2), part(11, 99)))
+        F.when(full_width, F.concat(part(7, 4), F.lit("-"), part(1, 2), F.lit("-"), part(4, 2), rest))
         .when(F.contains(text, F.lit("/")), F.regexp_replace(text, _MONTH_FIRST, "$3-$1-$2 $4"))
         .when(F.contains(text, F.lit("-")), text)
     )

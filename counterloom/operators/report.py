@@ -10,8 +10,6 @@ from counterloom.operators.select import describe_counters, select_by_substring
 from counterloom.operators.stats import HEAD, add_mbps_rows
 from counterloom.schema import AVG, MAX
 
-MAX_COLUMNS = 10_000
-
 
 def _stat_rows(stats: DataFrame, day: Column, start: Column, end: Column) -> DataFrame:
     pairs = F.array(
@@ -64,6 +62,11 @@ def first_by_label(stats: DataFrame) -> DataFrame:
     )
 
 
+def label_place(label: Column) -> Column:
+    """``05-Feb SRV1 Avg``: day, server and statistic of a label, without its time range."""
+    return F.replace(F.concat_ws(" ", F.slice(F.split(label, "\n"), 1, 3)), F.lit("."), F.lit(""))
+
+
 def round_report(cells: DataFrame) -> DataFrame:
     return cells.withColumn("value", round_half_even(F.col("value")))
 
@@ -73,20 +76,23 @@ def baseline_first(metric: Column, baseline: str) -> list[Column]:
 
     ``baseline`` may be given with or without its server.
     """
+    return [(metric == _baseline_metric(baseline)).desc(), metric.asc()]
+
+
+def _baseline_metric(baseline: str) -> Column:
     name = F.lit(baseline)
-    name = F.when(F.startswith(name, F.lit("\\\\")), path_metric(name)).otherwise(name)
-    return [(metric == name).desc(), metric.asc()]
+    return F.when(F.startswith(name, F.lit("\\\\")), path_metric(name)).otherwise(name)
 
 
-def pivot_report(cells: DataFrame, baseline: str) -> DataFrame:
-    """Metrics as rows, labels as columns, baseline first.
+def pivot_report(
+    cells: DataFrame, baseline: str, columns: list[str], key: str = "label"
+) -> DataFrame:
+    """Metrics as rows, the given values of ``key`` as columns, baseline first.
 
-    Needs one column per label, so only the labels, which are few, reach the
-    driver. Too many labels are an error: use the long cells for large fleets.
+    ``is_baseline`` marks the pinned row. Columns without a cell stay, empty; the
+    caller names them, so building the plan runs no job and sets no limit.
     """
-    found = cells.select("label").distinct().limit(MAX_COLUMNS + 1).collect()
-    if len(found) > MAX_COLUMNS:
-        raise ValueError(f"more than {MAX_COLUMNS} report columns; use the long report")
-    labels = sorted(row.label for row in found)
-    wide = cells.groupBy("metric").pivot("label", labels).agg(F.first("value", ignorenulls=True))
-    return wide.orderBy(*baseline_first(F.col("metric"), baseline))
+    order = baseline_first(F.col("metric"), baseline)
+    wide = cells.groupBy("metric").pivot(key, columns).agg(F.first("value", ignorenulls=True))
+    pinned = F.col("metric") == _baseline_metric(baseline)
+    return wide.withColumn("is_baseline", pinned).orderBy(*order)

@@ -15,10 +15,15 @@ _DAY_MINUTES = 24 * 60
 
 
 def bin_start(ts: Column, minutes: int = BIN_MINUTES) -> Column:
-    """Start of the left-closed bin that holds ``ts``; widths divide a day."""
+    """Start of the left-closed bin that holds ``ts``; widths divide a day.
+
+    A null time stamp has a null bin, so lines without a time can be counted.
+    """
     if minutes < 1 or _DAY_MINUTES % minutes:
         raise ValueError("the bin width must divide 24 hours")
-    return F.window(ts, f"{minutes} minutes")["start"]
+    of_day = F.hour(ts) * 60 + F.minute(ts)
+    whole = (F.floor(of_day / minutes) * minutes).cast("int")
+    return ts.cast("date").cast("timestamp_ntz") + F.make_dt_interval(mins=whole)
 
 
 def _minutes(count: int) -> Column:
@@ -27,7 +32,8 @@ def _minutes(count: int) -> Column:
 
 def resample_mean(samples: DataFrame, by: list[str], minutes: int = BIN_MINUTES) -> DataFrame:
     """Mean per key and bin, nulls skipped."""
-    return samples.groupBy(*by, bin_start(F.col("ts"), minutes).alias("bin")).agg(
+    timed = samples.filter(F.col("ts").isNotNull())
+    return timed.groupBy(*by, bin_start(F.col("ts"), minutes).alias("bin")).agg(
         F.avg("value").alias("v")
     )
 
@@ -73,8 +79,9 @@ def find_cut(
 ) -> DataFrame:
     """Logical end of each run: the end of the bin with the largest change.
 
-    ``bins`` holds the baseline means (``run_id, bin, v``), ``bounds`` the first
-    time stamp of each run (``run_id, start_ts``). Ties go to the earliest bin.
+    ``bins`` holds the baseline means (``run_id, bin, v``), ``bounds`` the first and
+    last time stamps of each run (``run_id, start_ts, end_ts``). Ties go to the
+    earliest bin.
     The bin before the chosen one must lie inside the run and must not be a zero
     bin; an empty one is accepted and gives a null ``prev_value``. Runs without a
     non-zero bin have no row.
@@ -97,12 +104,13 @@ def find_cut(
     if require_previous:
         status = status.when(~accepted, NO_PREVIOUS_BIN)
     first_bins = bounds.select(
-        "run_id", "start_ts", bin_start(F.col("start_ts"), minutes).alias("first_bin")
+        "run_id", "start_ts", "end_ts", bin_start(F.col("start_ts"), minutes).alias("first_bin")
     )
     return best.join(first_bins, "run_id").select(
         "run_id",
         (F.col("bin") + _minutes(minutes)).alias("fall_ts"),
         "start_ts",
+        "end_ts",
         F.when(adjacent, F.col("prev_v")).alias("prev_value"),
         F.col("v").alias("value"),
         "diff_pct",

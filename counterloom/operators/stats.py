@@ -10,16 +10,11 @@ from pyspark.sql import functions as F
 from counterloom.functions.numbers import bytes_to_mbps, is_byte_rate, mbps_name
 from counterloom.operators.select import match_patterns
 from counterloom.operators.series import BIN_MINUTES, bin_start
-from counterloom.shared import join_small
 
 HEAD = "head"
 TAIL = "tail"
 
 
-def _run_width():
-    return F.length("run_id") + 64
-
-
 def run_bounds(samples: DataFrame) -> DataFrame:
     return samples.groupBy("run_id").agg(
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts")
@@ -43,10 +38,10 @@ def drop_all_null_rows(wide: DataFrame, counters: list[str]) -> DataFrame:
 def keep_rows(samples: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
     """Samples up to the cut, or from the cut on; both include the cut itself.
 
-    ``cuts``, one row per run, should be settled: its size decides the join.
+    ``cuts`` has one row per run; settled, Catalyst knows its size and can spare
+    the samples a shuffle.
     """
-    ends = cuts.select("run_id", "fall_ts")
-    joined = join_small(samples, ends, ["run_id"], _run_width())
+    joined = samples.join(cuts.select("run_id", "fall_ts"), "run_id")
     return joined.filter(_inside(keep, F.col("ts"))).drop("fall_ts")
 
 
@@ -80,12 +75,9 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
 
 
 def baseline_bins(bins: DataFrame, baselines: DataFrame) -> DataFrame:
-    """Bin means of each run's baseline counter (``run_id, bin, v``).
-
-    ``baselines``, one row per run, should be settled: its size decides the join.
-    """
+    """Bin means of each run's baseline counter (``run_id, bin, v``)."""
     return (
-        join_small(bins, baselines.select("run_id", "pos"), ["run_id", "pos"], _run_width())
+        bins.join(baselines.select("run_id", "pos"), ["run_id", "pos"])
         .groupBy("run_id", "bin")
         .agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("v"))
     )
@@ -110,7 +102,7 @@ def kept_stats(bins: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
     if keep == HEAD:
         inside = inside & ((F.col("bin") < F.col("fall_ts")) | F.col("on_start"))
     return (
-        join_small(bins, ends, ["run_id"], _run_width())
+        bins.join(ends, "run_id")
         .filter(inside)
         .groupBy("run_id", "pos", "fall_ts", "start_ts", "end_ts")
         .agg(

@@ -12,17 +12,21 @@ from counterloom.functions.paths import file_name, path_metric, path_server
 from counterloom.functions.times import clock_label, column_label, day_label, duration_label, parse_time
 from counterloom.operators import report as reports
 from counterloom.operators import reshape, runs, select, series, stats
-from counterloom.plans.report import report_cells, run_statistics, wide_report
+from counterloom.plans.report import (
+    bin_cuts,
+    log_statistics,
+    place_report,
+    report_cells,
+    run_statistics,
+    store_statistics,
+)
 from counterloom.schema import AVG, TICK
 from counterloom.shared import new_folder, settle
-from counterloom.sources.counter_logs import (
-    counter_dictionary,
-    layouts,
-    parse_lines,
-    read_counter_logs,
-)
-from counterloom.sources.store import ingest_new, open_store
+from counterloom.sources.counter_logs import counter_dictionary, layouts, parse_lines
+from counterloom.sources.sinks import write_report
+from counterloom.sources.store import extract_rounds, ingest_new, open_store
 from counterloom.sources.tables import (
+    EVENT_COUNTERS,
     LINE_COUNTERS,
     day_of,
     event_samples,
@@ -276,33 +280,35 @@ def run_bounds(spark, folder):
 
 
 def _day_bins(spark, folder) -> DataFrame:
-    return settle(stats.bin_samples(_samples(spark, folder)), "bins")
+    return stats.bin_samples(_samples(spark, folder))
 
 
-def _baseline_series(bins: DataFrame) -> DataFrame:
-    """Bin means of the first baseline counter of each run."""
+def pct_change(spark, folder):
+    bins = _day_bins(spark, folder)
     first = select.baseline_counters(stats.binned_counters(bins), BASELINE)
-    return stats.baseline_bins(bins, settle(first, "baselines"))
+    return series.pct_change(stats.baseline_bins(bins, first))
 
 
-def pct_change(spark, folder):
-    return series.pct_change(_baseline_series(_day_bins(spark, folder)))
+def _day_cuts(spark, folder) -> DataFrame:
+    """All branches of this plan read bins; Spark makes that exchange once."""
+    bins = _day_bins(spark, folder)
+    return bin_cuts(bins, stats.binned_counters(bins), BASELINE)
 
 
 def find_cut(spark, folder):
-    bins = _day_bins(spark, folder)
-    return series.find_cut(_baseline_series(bins), stats.binned_bounds(bins))
+    return _day_cuts(spark, folder).drop("end_ts")
 
 
 def find_cut_gaps_and_zeros(spark, folder):
     """Cuts of tax series: zero bins, gaps, and a wide bin."""
     taxes = _line_readings(spark, folder).withColumnRenamed("tax", "value")
     bins = series.resample_mean(taxes, ["run_id"], 24 * 60)
-    return series.find_cut(bins, stats.run_bounds(taxes), 24 * 60)
+    return series.find_cut(bins, stats.run_bounds(taxes), 24 * 60).drop("end_ts")
 
 
 def _ok_cuts(spark, folder) -> DataFrame:
-    return settle(find_cut(spark, folder).filter(F.col("status") == "ok"), "cuts")
+    """Settled, so that samples meet them without a shuffle while they are small."""
+    return settle(_day_cuts(spark, folder).filter(F.col("status") == "ok"), "cuts")
 
 
 def filter_to_cut(spark, folder):
@@ -360,8 +366,40 @@ def report_long(spark, folder):
     return report_cells(_statistics(spark, folder))
 
 
+# The events span the first thirty days of a January, on three servers.
+REPORT_COLUMNS = [
+    f"{day:02d}-Jan SRV{server} {stat}"
+    for day in range(1, 31)
+    for server in range(3)
+    for stat in ("Avg", "Max")
+]
+
+
 def report(spark, folder):
-    return wide_report(_statistics(spark, folder), BASELINE_METRIC)
+    """Metrics by day, server and statistic, the baseline row marked and on top."""
+    return place_report(_statistics(spark, folder), REPORT_COLUMNS, BASELINE_METRIC)
+
+
+def report_roundtrip(spark, folder):
+    """The same report, written as CSV and read back."""
+    path = new_folder(spark, "report")
+    write_report(report(spark, folder), path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
+    return back.select(
+        "metric",
+        *[F.col(f"`{c}`").cast("double").alias(c) for c in REPORT_COLUMNS],
+        F.col("is_baseline").cast("boolean").alias("is_baseline"),
+    )
+
+
+def first_of_head_and_tail(spark, folder):
+    """Two runs a day, before and after its cut, under one label; the first one counts."""
+    samples = select.tick_others(_samples(spark, folder), [*PATTERNS, BASELINE])
+    head = run_statistics(samples, baseline=BASELINE, keep=stats.HEAD)
+    tail = run_statistics(samples, baseline=BASELINE, keep=stats.TAIL)
+    tail = tail.withColumn("run_id", F.concat("run_id", F.lit("/tail")))
+    placed = head.unionByName(tail).withColumn("label", reports.label_place(F.col("label")))
+    return reports.first_by_label(placed)
 
 
 def report_tail(spark, folder):
@@ -398,15 +436,13 @@ def _listed_runs(spark, folder) -> DataFrame:
 
 
 def _run_status(spark, folder) -> DataFrame:
-    samples = _user_days(spark, folder)
-    bins = settle(stats.bin_samples(samples), "bins")
-    baselines = settle(
-        select.baseline_counters(stats.binned_counters(bins), BASELINE), "baselines"
-    )
-    cuts = series.find_cut(stats.baseline_bins(bins, baselines), stats.binned_bounds(bins))
+    bins = stats.bin_samples(_user_days(spark, folder))
+    bins = settle(bins, "bins")
+    counters = stats.binned_counters(bins)
     rows = bins.groupBy("run_id").agg(F.sum("rows").alias("rows"))
     listed = _listed_runs(spark, folder).join(rows, "run_id", "left")
-    return runs.run_status(listed, baselines, cuts)
+    baselines = select.baseline_counters(counters, BASELINE)
+    return runs.run_status(listed, baselines, bin_cuts(bins, counters, BASELINE))
 
 
 def run_status(spark, folder):
@@ -427,10 +463,18 @@ def new_files_antijoin(spark, folder):
 # Logs
 
 
+def _month_first(ts):
+    """``MM/dd/yyyy HH:mm:ss.SSS``, cut from the text so that no time zone shifts it."""
+    text = F.rpad(F.concat(ts.cast("string"), F.when(F.length(ts.cast("string")) == 19, ".").otherwise("")), 23, "0")
+    slash = F.lit("/")
+    day = F.concat(F.substring(text, 6, 2), slash, F.substring(text, 9, 2), slash, F.substring(text, 1, 4))
+    return F.concat(day, F.lit(" "), F.substring(text, 12, 12))
+
+
 def _wide_lines(spark, folder) -> DataFrame:
     """Order lines as data lines of a log per ship year, all cells quoted."""
     wide = line_samples(read_table(spark, folder, "lineitem"))
-    cells = [F.date_format("ts", "MM/dd/yyyy HH:mm:ss.SSS")] + [
+    cells = [_month_first(F.col("ts"))] + [
         F.coalesce(F.nullif(F.col(name), F.lit(0.0)).cast("string"), F.lit(" ")) for name in LINE_COUNTERS
     ]
     line = F.concat(F.lit('"'), F.concat_ws('","', *cells), F.lit('"'))
@@ -465,7 +509,7 @@ def scan_counter_lines(spark, folder):
 def _write_logs(lineitem: DataFrame, path: str) -> None:
     """Order lines as CSV files with their own headers, one per task."""
     wide = lineitem.select(
-        F.date_format("l_shipdate", "MM/dd/yyyy HH:mm:ss.SSS").alias("(PDH-CSV 4.0) (GMT Standard Time)(0)"),
+        _month_first(F.col("l_shipdate")).alias("(PDH-CSV 4.0) (GMT Standard Time)(0)"),
         *[
             F.coalesce(F.nullif(hundredths(F.col(c)), F.lit(0.0)).cast("string"), F.lit(" ")).alias(
                 f"\\\\SRV1\\Lines(a, b)\\{name}"
@@ -509,8 +553,7 @@ def read_counter_files(spark, folder):
     """Logs written by Spark, read back by their own headers."""
     path = new_folder(spark, "logs")
     _write_logs(read_table(spark, folder, "lineitem"), path)
-    layout, samples = read_counter_logs(spark, path, LINE_PATTERNS)
-    return _per_counter(samples, counter_dictionary(layout))
+    return _per_counter(*extract_rounds(spark, path, LINE_PATTERNS))
 
 
 def _two_deliveries(spark, folder, path, take) -> None:
@@ -547,6 +590,114 @@ def streaming_ingest(spark, folder):
     return _per_counter(tables.samples, tables.counters)
 
 
+def _write_day_logs(events: DataFrame, path: str) -> None:
+    """One wide log per day; fillers put the counters at other positions every day.
+
+    Every event is a line with one cell filled. A day is one file, so it is written
+    by one task.
+    """
+    samples = event_samples(events)
+    day = F.substring("run_id", 9, 2).cast("int")
+    wide = len(EVENT_COUNTERS) * 3
+    filler = F.transform(
+        F.sequence(F.lit(1), day % 7 + 1), lambda i: F.concat(F.lit("\\\\SRV0\\Filler\\"), i.cast("string"))
+    )
+    names = F.transform(
+        F.sequence(F.lit(1), F.lit(wide)),
+        lambda i: F.coalesce(F.try_element_at("names", i), F.concat(F.lit("None"), i.cast("string"))),
+    )
+    pairs = F.collect_set(F.struct("pos", "counter_path"))
+    headers = (
+        samples.groupBy("run_id")
+        .agg(F.map_from_entries(pairs).alias("names"))
+        .select(
+            "run_id",
+            F.lit(0).alias("place"),
+            F.array_join(
+                F.transform(
+                    F.concat(F.array(F.lit("Time")), filler, names),
+                    _quoted,
+                ),
+                ",",
+            ).alias("line"),
+        )
+    )
+    blank = F.lit('" "')
+    cells = F.concat(
+        F.array(_quoted(F.col("ts").cast("string"))),
+        F.transform(filler, lambda i: F.lit('"7"')),
+        F.transform(
+            F.sequence(F.lit(1), F.lit(wide)),
+            lambda i: F.when(i == F.col("pos"), _quoted(F.coalesce(F.col("value").cast("string"), F.lit(" ")))).otherwise(blank),
+        ),
+    )
+    lines = samples.select("run_id", F.lit(1).alias("place"), F.array_join(cells, ",").alias("line"))
+    whole = headers.unionByName(lines).repartition("run_id").sortWithinPartitions("run_id", "place")
+    # Lines as they are: the writer must not quote them again.
+    whole.select("line", "run_id").write.partitionBy("run_id").option("quote", "\u0000").option(
+        "sep", "\u0001"
+    ).option("escape", "\u0000").option("ignoreLeadingWhiteSpace", False).option(
+        "ignoreTrailingWhiteSpace", False
+    ).csv(path)
+
+
+EVENT_PATTERNS = PATTERNS
+
+
+def report_from_logs(spark, folder):
+    """The report of one log per day, straight from the files."""
+    path = new_folder(spark, "day-logs")
+    _write_day_logs(read_table(spark, folder, "events"), path)
+    return report_cells(log_statistics(spark, path, EVENT_PATTERNS, BASELINE))
+
+
+def _store_of_days(spark, folder) -> str:
+    path, store = new_folder(spark, "day-logs"), new_folder(spark, "store")
+    _write_day_logs(read_table(spark, folder, "events"), path)
+    ingest_new(spark, path, store, EVENT_PATTERNS, BASELINE, round_files=7)
+    return store
+
+
+def report_from_store(spark, folder):
+    """The report of one log per day, ingested in rounds."""
+    return report_cells(store_statistics(spark, _store_of_days(spark, folder), BASELINE))
+
+
+def mixed_ingest(spark, folder):
+    """Days that arrive one after the other, by batch and by two streams, in one store."""
+    events = read_table(spark, folder, "events")
+    path, store = new_folder(spark, "day-logs"), new_folder(spark, "store")
+    day = F.substring(day_of(F.col("ts")), 9, 2).cast("int")
+
+    def stream():
+        # A new checkpoint each time, as after its loss: all files are seen again.
+        checkpoint = new_folder(spark, "stream")
+        stream_logs(spark, path, store, checkpoint, EVENT_PATTERNS, BASELINE).awaitTermination()
+
+    def batch():
+        ingest_new(spark, path, store, EVENT_PATTERNS, BASELINE)
+
+    for number, take in enumerate((batch, stream, stream)):
+        _write_day_logs(events.filter(day % 3 == number), f"{path}/{number}")
+        take()
+    return report_cells(store_statistics(spark, store, BASELINE))
+
+
+def ingest_summary(spark, folder):
+    """What three calls found, took, skipped and failed on, as days arrive."""
+    events = read_table(spark, folder, "events")
+    path, store = new_folder(spark, "day-logs"), new_folder(spark, "store")
+    first = F.substring(day_of(F.col("ts")), 9, 2).cast("int") <= 10
+    rows = []
+    for number, part in enumerate((events.filter(first), events.filter(~first), None), 1):
+        if part is not None:
+            _write_day_logs(part, f"{path}/{number}")
+        summary = ingest_new(spark, path, store, EVENT_PATTERNS, BASELINE)
+        rows.append((number, *summary))
+    columns = "call int, found long, new long, skipped long, failed long"
+    return spark.createDataFrame(rows, columns)
+
+
 QUERIES = {
     "select_by_substring": select_by_substring,
     "match_patterns": match_patterns,
@@ -583,6 +734,10 @@ QUERIES = {
     "first_by_label": first_by_label,
     "report_long": report_long,
     "report": report,
+    "report_roundtrip": report_roundtrip,
+    "report_from_logs": report_from_logs,
+    "report_from_store": report_from_store,
+    "first_of_head_and_tail": first_of_head_and_tail,
     "report_tail": report_tail,
     "report_filter_sort": report_filter_sort,
     "run_status": run_status,
@@ -592,4 +747,6 @@ QUERIES = {
     "read_counter_files": read_counter_files,
     "incremental_ingest": incremental_ingest,
     "streaming_ingest": streaming_ingest,
+    "mixed_ingest": mixed_ingest,
+    "ingest_summary": ingest_summary,
 }

@@ -149,6 +149,29 @@ FROM (
   UNION ALL SELECT l_shipdate, 'Discount', nullif(round(l_discount * 100), 0) FROM lineitem)
 GROUP BY counter"""
 
+_PLACE = "replace(array_to_string(string_split(label, chr(10))[1:3], ' '), '.', '')"
+
+
+def _renamed_tail() -> str:
+    """The tail statistics beside those of the head."""
+    text = _statistics("tail")
+    for name in ("per_counter", "named", "widened", "statistics", "firsts", "cells"):
+        text = text.replace(f"{name} AS (", f"tail_{name} AS (").replace(f"FROM {name}", f"FROM tail_{name}")
+    return text
+
+
+_REPORT = (
+    _with(*_HEAD)
+    + f"""SELECT metric, metric = 'App(click)\\Request Execution Time' AS is_baseline, """
+    + ", ".join(
+        f"""max(value) FILTER (place = '{day:02d}-Jan SRV{server} {stat}') AS "{day:02d}-Jan SRV{server} {stat}\""""
+        for day in range(1, 31)
+        for server in range(3)
+        for stat in ("Avg", "Max")
+    )
+    + f" FROM (SELECT metric, value, {_PLACE} AS place FROM cells) GROUP BY metric"
+)
+
 ORACLE = {
     "select_by_substring": _with(_SAMPLES, _COUNTERS)
     + "SELECT * FROM counters WHERE contains(counter_path, 'Bytes Total/sec')",
@@ -294,7 +317,20 @@ FROM widened""",
     + "SELECT count(DISTINCT run_id) AS runs, count(*) AS statistics FROM statistics",
     "first_by_label": _with(*_HEAD) + "SELECT * FROM firsts",
     "report_long": _with(*_HEAD) + "SELECT * FROM cells",
-    "report": "SELECT * FROM (PIVOT (" + _with(*_HEAD) + "SELECT * FROM cells) ON label USING first(value) GROUP BY metric)",
+    "report": _REPORT,
+    "report_roundtrip": _REPORT,
+    "report_from_logs": _with(*_HEAD) + "SELECT * FROM cells",
+    "report_from_store": _with(*_HEAD) + "SELECT * FROM cells",
+    "first_of_head_and_tail": _with(
+        *_FIND,
+        _statistics("head").replace("firsts AS", "unused_firsts AS").replace("cells AS", "unused AS").replace("FROM firsts", "FROM unused_firsts"),
+        _renamed_tail(),
+    )
+    + f"""SELECT metric, place AS label, arg_min(value, (run_id, pos)) AS value FROM (
+  SELECT run_id, pos, metric, {_PLACE} AS place, value FROM statistics
+  UNION ALL
+  SELECT run_id || '/tail', pos, metric, {_PLACE}, value FROM tail_statistics)
+WHERE value IS NOT NULL GROUP BY metric, place""",
     "report_tail": _with(*_TAIL) + "SELECT * FROM cells",
     "report_filter_sort": _with(*_HEAD)
     + "SELECT * FROM cells WHERE contains(label, 'SRV1' || chr(10)) ORDER BY value DESC, metric, label",
@@ -318,4 +354,10 @@ SELECT run_id, -1, count(*), 0, NULL, NULL, min(ts), NULL, NULL, NULL FROM wide
     "read_counter_files": _FILES,
     "incremental_ingest": _FILES,
     "streaming_ingest": _FILES,
+    "mixed_ingest": _with(*_HEAD) + "SELECT * FROM cells",
+    "ingest_summary": """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
+counts AS (SELECT count(*) FILTER (day(day) <= 10) AS early, count(*) AS whole FROM days)
+SELECT 1::INTEGER AS call, early AS found, early AS new, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM counts
+UNION ALL SELECT 2, whole, whole - early, early, 0 FROM counts
+UNION ALL SELECT 3, whole, 0, whole, 0 FROM counts""",
 }

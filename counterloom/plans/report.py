@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from counterloom.operators.report import (
     first_by_label,
+    label_place,
     labelled_stats,
     pivot_report,
     round_report,
@@ -20,10 +21,21 @@ from counterloom.operators.stats import (
     binned_counters,
     kept_stats,
 )
-from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK, TICK
-from counterloom.shared import join_small, settle
-from counterloom.sources.counter_logs import counter_dictionary, read_counter_logs
-from counterloom.sources.store import open_store
+from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK
+from counterloom.shared import new_folder, settle
+from counterloom.sources.counter_logs import ROUND_FILES
+from counterloom.sources.store import extract_rounds, ingest_new, open_store
+
+
+def bin_cuts(
+    bins: DataFrame,
+    counters: DataFrame,
+    baseline: str = DEFAULT_BASELINE,
+    minutes: int = BIN_MINUTES,
+) -> DataFrame:
+    """The cut of each run, its baseline being its first counter that contains ``baseline``."""
+    first = baseline_counters(counters, baseline)
+    return find_cut(baseline_bins(bins, first), binned_bounds(bins), minutes)
 
 
 def bin_statistics(
@@ -33,12 +45,11 @@ def bin_statistics(
     keep: str = HEAD,
     minutes: int = BIN_MINUTES,
 ) -> DataFrame:
-    """Labelled average and maximum per run and counter, trimmed at each run's cut."""
-    bounds = binned_bounds(bins)
-    baselines = settle(baseline_counters(counters, baseline), "baselines")
-    series = baseline_bins(bins, baselines)
-    cuts = find_cut(series, bounds, minutes).filter(F.col("status") == OK)
-    cuts = settle(cuts.join(bounds.select("run_id", "end_ts"), "run_id"), "cuts")
+    """Labelled average and maximum per run and counter, trimmed at each run's cut.
+
+    One plan; bins are stored, so all its branches read a small table.
+    """
+    cuts = bin_cuts(bins, counters, baseline, minutes).filter(F.col("status") == OK)
     names = describe_counters(counters.select("run_id", "pos", "counter_path"))
     stats = kept_stats(bins, cuts, keep).join(names, ["run_id", "pos"])
     return labelled_stats(add_mbps_rows(stats), keep)
@@ -53,8 +64,8 @@ def run_statistics(
 ) -> DataFrame:
     """``bin_statistics`` of samples, which are read once.
 
-    Samples shrink to bins; cuts and trimmed statistics come from the settled
-    bins, and so does the counter dictionary of samples that carry their paths.
+    Samples shrink to bins, the only table that is settled; cuts, trimmed
+    statistics and the dictionary of samples that carry their paths come from it.
     """
     bins = settle(bin_samples(samples, minutes), "bins")
     if counters is None:
@@ -67,16 +78,34 @@ def report_cells(statistics: DataFrame) -> DataFrame:
     return round_report(first_by_label(statistics))
 
 
-def wide_report(statistics: DataFrame, baseline: str = DEFAULT_BASELINE) -> DataFrame:
-    return pivot_report(settle(report_cells(statistics), "cells"), baseline)
+def wide_report(
+    statistics: DataFrame, columns: list[str], baseline: str = DEFAULT_BASELINE
+) -> DataFrame:
+    """The report with the given labels as columns."""
+    return pivot_report(report_cells(statistics), baseline, columns)
+
 
+def place_report(
+    statistics: DataFrame, columns: list[str], baseline: str = DEFAULT_BASELINE
+) -> DataFrame:
+    """The report with a column per day, server and statistic, whatever the time ranges."""
+    placed = statistics.withColumn("label", label_place(F.col("label")))
+    return wide_report(placed, columns, baseline)
 
-def extract_logs(spark: SparkSession, root: str, patterns: list[str]) -> DataFrame:
+
+def extract_logs(
+    spark: SparkSession,
+    root: str,
+    patterns: list[str],
+    headers: DataFrame | None = None,
+    time_column: str | None = None,
+    round_files: int = ROUND_FILES,
+) -> DataFrame:
     """Readings of the matching counters of all logs under ``root``, with their names."""
-    layout, samples = read_counter_logs(spark, root, patterns)
-    names = settle(counter_dictionary(layout), "counters")
-    width = F.length("run_id") + 3 * F.length("counter_path") + 64
-    return join_small(samples.filter(F.col("pos") != TICK), names, ["run_id", "pos"], width)
+    samples, counters = extract_rounds(
+        spark, root, patterns, headers, time_column, round_files
+    )
+    return samples.join(counters, ["run_id", "pos"])
 
 
 def log_statistics(
@@ -85,10 +114,28 @@ def log_statistics(
     patterns: list[str] = DEFAULT_PATTERNS,
     baseline: str = DEFAULT_BASELINE,
     keep: str = HEAD,
+    headers: DataFrame | None = None,
+    time_column: str | None = None,
+    round_files: int = ROUND_FILES,
 ) -> DataFrame:
-    """Statistics straight from a directory of logs, without a store."""
-    layout, samples = read_counter_logs(spark, root, [*patterns, baseline])
-    return run_statistics(samples, counter_dictionary(layout), baseline, keep)
+    """Statistics straight from a directory of logs.
+
+    Goes through the same rounds as ingest, into a store of its own that keeps
+    bins but no samples.
+    """
+    store = new_folder(spark, "bins-of-logs")
+    ingest_new(
+        spark,
+        root,
+        store,
+        patterns,
+        baseline,
+        headers=headers,
+        time_column=time_column,
+        round_files=round_files,
+        keep_samples=False,
+    )
+    return store_statistics(spark, store, baseline, keep)
 
 
 def store_statistics(

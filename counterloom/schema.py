@@ -14,6 +14,9 @@ RUNS = (
     " ingested_at timestamp"
 )
 
+COMMITS = "batch string, files long"
+FAILURES = "run_id string, status string, error string, failed_at timestamp"
+
 # Every data line of a log also yields one row with this position. Tick rows
 # carry the time stamp of lines whose counters are all blank, so run bounds and
 # row counts come from the same scan as the readings.
@@ -21,6 +24,7 @@ TICK = -1
 
 OK = "ok"
 EMPTY = "empty"
+UNREADABLE = "unreadable"
 NO_TIME_COLUMN = "no_time_column"
 NO_BASELINE = "no_baseline"
 NO_NONZERO = "no_nonzero"

@@ -1,32 +1,25 @@
-"""Intermediate tables in the folder all executors share."""
+"""Intermediate tables in the folder that the driver and all executors share."""
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
-
-_local_folder: str | None = None
+_scopes: list[list[str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or a scratch folder in local mode."""
-    global _local_folder
+    """The folder of ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "local").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if _local_folder is None:
-        _local_folder = tempfile.mkdtemp(prefix="counterloom-")
-    return _local_folder
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/settled").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:
@@ -40,33 +33,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def settled_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end every folder that was made inside.
+
+    Frames that read them must have been used or written elsewhere by then.
+    """
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for path in paths:
+            delete_folder(spark, path)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a settled table that nothing will read any more."""
     for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        _delete(df.sparkSession, path)
+        delete_folder(df.sparkSession, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete_folder(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def total_bytes(df: DataFrame, width: Column) -> int:
-    """Sum of the row widths of a settled, small table."""
-    return df.agg(F.coalesce(F.sum(width), F.lit(0)).cast("long").alias("bytes")).first().bytes
-
-
-def join_small(big: DataFrame, small: DataFrame, keys: list[str], width: Column) -> DataFrame:
-    """Inner join with a settled table that has one row per key.
-
-    It is broadcast while it is small. Beyond that both sides are shuffled, and
-    every key is spread over ``SALTS`` tasks by a hash of the large side's row:
-    skew handling alone would not split a hot key here, because aggregates by
-    that key usually follow and rely on its partitioning.
-    """
-    if total_bytes(small, width) <= BROADCAST_BYTES:
-        return big.join(F.broadcast(small), keys)
-    salt = F.pmod(F.xxhash64(*big.columns), F.lit(SALTS)).cast("int")
-    copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    spread = big.withColumn("salt", salt).join(small.withColumn("salt", copies), [*keys, "salt"])
-    return spread.drop("salt")

@@ -1,21 +1,19 @@
 """Directories of wide counter exports as long samples.
 
 Every file has its own header, so a directory cannot be read as one CSV table.
-Headers are read on their own (first line of each file only); the data lines are
-then read by position, and only cells of wanted counters leave the scan.
+Headers are read on their own; the data lines are then read as text, split once,
+and each line gives up the cells that its own file's header asks for. What other
+files want does not matter to a line, and no line is shuffled.
 """
 
 import re
-from collections.abc import Callable, Iterator
-from functools import reduce
-from math import ceil
+from collections.abc import Iterator
 from urllib.parse import unquote
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from counterloom.functions.lines import csv_cells, quoted_cells, time_position
 from counterloom.functions.numbers import is_finite, plain_double
@@ -23,10 +21,15 @@ from counterloom.functions.paths import contains_any
 from counterloom.functions.times import parse_time
 from counterloom.operators.select import describe_counters
 from counterloom.schema import TICK
-from counterloom.shared import BROADCAST_BYTES, settle, total_bytes
 
-_MAX_COLUMNS = 200_000
+# Files per scan. Their layouts are broadcast, at most this many rows of four bytes
+# per header column.
+ROUND_FILES = 2000
+
 _GLOB = re.compile(r"[\\{}\[\]*?]")
+_HEADERS = "run_id string, size_bytes long, header string, error string"
+# Schemes under which the header reader knows a store that Spark names otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 
 def list_logs(spark: SparkSession, root: str) -> DataFrame:
@@ -43,11 +46,12 @@ def list_logs(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _header_reader():
+def _header_reader(schemes: dict[str, str]):
     """Reader of first lines; a closure travels whole, so executors need no package."""
 
     def first_line(uri: str) -> str:
-        system, path = fs.FileSystem.from_uri(uri)
+        scheme, colon, rest = uri.partition(":")
+        system, path = fs.FileSystem.from_uri(schemes.get(scheme, scheme) + colon + rest)
         blocks = []
         with system.open_input_stream(path) as stream:
             while block := stream.read(1024 * 1024):
@@ -55,35 +59,75 @@ def _header_reader():
                 if b"\n" in block:
                     break
         line = b"".join(blocks).split(b"\n", 1)[0]
-        return line.decode("utf-8-sig", errors="replace").rstrip("\r")
+        return line.decode("utf-8-sig").rstrip("\r")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run_id, size in zip(*[column.to_pylist() for column in batch.columns]):
-                yield pa.RecordBatch.from_pydict(
-                    {"run_id": [run_id], "size_bytes": [size], "header": [first_line(run_id)]}
-                )
+                header = error = None
+                try:
+                    header = first_line(run_id)
+                except (OSError, ValueError, pa.ArrowException) as problem:
+                    error = f"{type(problem).__name__}: {problem}"
+                columns = [pa.array([run_id]), pa.array([size], pa.int64())]
+                columns += [pa.array([text], pa.string()) for text in (header, error)]
+                names = ["run_id", "size_bytes", "header", "error"]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return read
 
 
 def read_headers(logs: DataFrame) -> DataFrame:
-    """``run_id, size_bytes, header``: opens each file, stops after its first line."""
-    return logs.select("run_id", "size_bytes").mapInArrow(
-        _header_reader(), "run_id string, size_bytes long, header string"
+    """``run_id, size_bytes, header, error``: opens each file, stops after its first line.
+
+    A file that cannot be opened or is not UTF-8 has an ``error`` and no header.
+    Files in stores that only Spark reaches take ``scan_headers`` instead.
+    """
+    return logs.select("run_id", "size_bytes").mapInArrow(_header_reader(_SCHEMES), _HEADERS)
+
+
+def scan_headers(spark: SparkSession, logs: DataFrame, root: str) -> DataFrame:
+    """The same through Spark's own file systems; reads the files once to their end.
+
+    Of the first block of each file the first line counts.
+    """
+    lines = (
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", "*.csv")
+        .text(root)
+        .filter(F.col("_metadata.file_block_start") == 0)
+        .select(
+            F.col("_metadata.file_path").alias("run_id"),
+            F.monotonically_increasing_id().alias("place"),
+            F.col("value").alias("header"),
+        )
+    )
+    first = lines.groupBy("run_id").agg(F.min_by("header", "place").alias("header"))
+    return logs.join(first, "run_id", "left").select(
+        "run_id",
+        "size_bytes",
+        F.coalesce("header", F.lit("")).alias("header"),
+        F.lit(None).cast("string").alias("error"),
     )
 
 
-def layouts(headers: DataFrame, patterns: list[str]) -> DataFrame:
+def layouts(
+    headers: DataFrame, patterns: list[str], time_column: str | None = None
+) -> DataFrame:
     """What to take from the lines of each run: one row per run, one pass, no join.
 
-    ``wanted`` lists the positions of the counters that contain a pattern.
+    ``wanted`` lists the positions of the counters that contain a pattern. The time
+    column is found by its form unless ``time_column`` names it.
     """
     cells = F.when(F.col("header") == "", F.array().cast("array<string>"))
     named = headers.select(
         "run_id", "size_bytes", cells.otherwise(csv_cells(F.col("header"))).alias("names")
     )
-    timed = named.withColumn("time_pos", time_position(F.col("names")))
+    place = time_position(F.col("names"))
+    if time_column is not None:
+        stated = F.array_position("names", F.lit(time_column)).cast("int")
+        place = F.when(stated > 0, stated - 1)
+    timed = named.withColumn("time_pos", place)
     spots = F.transform("names", lambda name, i: F.struct(i.alias("pos"), name.alias("path")))
     wanted = F.filter(
         spots, lambda s: (s.pos != F.col("time_pos")) & contains_any(s.path, patterns)
@@ -112,10 +156,10 @@ def _readings(celled: DataFrame) -> DataFrame:
     column, the time stamp included, leaves through the explode, and rows are
     dropped after it. Header lines become null arrays.
     """
-    time_cell = F.get("cells", F.col("time_slot"))
-    texts = F.transform("slots", lambda slot: F.get("cells", slot))
+    time_cell = F.get("cells", F.col("time_pos"))
+    texts = F.transform("positions", lambda pos: F.when(pos >= 0, F.get("cells", pos)))
     readings = F.arrays_zip(
-        F.array_repeat(parse_time(time_cell), F.size("slots")).alias("ts"),
+        F.array_repeat(parse_time(time_cell), F.size("positions")).alias("ts"),
         F.col("positions").alias("pos"),
         F.transform(texts, plain_double).alias("value"),
     )
@@ -130,48 +174,21 @@ def _readings(celled: DataFrame) -> DataFrame:
 
 def _plan(layout: DataFrame) -> DataFrame:
     positions = F.concat(F.array(F.lit(TICK)), F.col("wanted.pos"))
-    return layout.filter(F.col("columns") > 0).select(
+    return layout.filter(F.col("time_pos").isNotNull()).select(
         "run_id", "columns", "time_pos", "time_column", positions.alias("positions")
     )
 
 
-def _by_group(plan: DataFrame, limit: int, scan: Callable[[DataFrame, Column], DataFrame]):
-    """Union of ``scan(part of the plan, its runs)`` over parts that may be broadcast.
-
-    Lines are far too wide to shuffle, so the plan goes to the lines. Its size is
-    summed first; beyond ``limit`` bytes the runs are split by hash of their name
-    into parts of about half of it. The name of a file's run is its path, so
-    each scan lists the files of its own runs only.
-    """
-    width = F.length("run_id") + F.length("time_column") + 8 * F.size("positions") + 64
-    total = total_bytes(plan, width)
-    if total <= limit:
-        return scan(plan, F.lit(True))
-    groups = 2 * ceil(total / limit)
-    group = F.pmod(F.xxhash64("run_id"), F.lit(groups))
-    return reduce(
-        DataFrame.unionByName,
-        [scan(plan.filter(group == number), group == number) for number in range(groups)],
-    )
-
-
-def parse_lines(
-    lines: DataFrame, layout: DataFrame, broadcast_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
+def parse_lines(lines: DataFrame, layout: DataFrame) -> DataFrame:
     """Log lines from any source (``run_id, line``) to samples, by the layout of their run."""
+    return _parsed(lines, _plan(layout))
 
-    def scan(plan: DataFrame, here: Column) -> DataFrame:
-        plan = plan.withColumnsRenamed({"time_pos": "time_slot"})
-        plan = plan.withColumn("slots", F.col("positions"))
-        split = (
-            lines.filter(here)
-            .join(F.broadcast(plan), "run_id")
-            .withColumn("fast", quoted_cells(F.col("line")))
-        )
-        whole = F.when(F.size("fast") == F.col("columns"), F.col("fast"))
-        return _readings(split.withColumn("cells", whole.otherwise(csv_cells(F.col("line")))))
 
-    return _by_group(_plan(layout), broadcast_bytes, scan)
+def _parsed(lines: DataFrame, plan: DataFrame) -> DataFrame:
+    filled = lines.filter(F.trim("line") != "")
+    split = filled.join(plan, "run_id").withColumn("fast", quoted_cells(F.col("line")))
+    whole = F.when(F.size("fast") == F.col("columns"), F.col("fast"))
+    return _readings(split.withColumn("cells", whole.otherwise(csv_cells(F.col("line")))))
 
 
 def file_paths(run_ids: list[str]) -> list[str]:
@@ -179,52 +196,17 @@ def file_paths(run_ids: list[str]) -> list[str]:
     return [_GLOB.sub(r"\\\g<0>", unquote(run_id)) for run_id in run_ids]
 
 
-def read_samples(
-    spark: SparkSession,
-    source: str | list[str],
-    layout: DataFrame,
-    broadcast_bytes: int = BROADCAST_BYTES,
-) -> DataFrame:
-    """Log files, under a folder or listed, to samples, by the layout of their run.
+def read_samples(spark: SparkSession, files: list[str], layout: DataFrame) -> DataFrame:
+    """Data lines of one round of files to samples, by the layout of each.
 
-    Columns are read by position, so files with different headers share a scan.
-    The scan reads only positions that some run of the layout wants; a run picks
-    its own from them.
+    The layouts go to the lines; a round has a fixed number of files, which bounds
+    what is broadcast.
     """
-
-    def scan(plan: DataFrame, here: Column) -> DataFrame:
-        used = plan.select(F.explode(F.concat(F.array("time_pos"), "positions")).alias("pos"))
-        used = used.filter(F.col("pos") != TICK).distinct().collect()
-        used = sorted(row.pos for row in used)
-        spots = F.array(*[F.lit(pos) for pos in used]).cast("array<int>")
-        plan = plan.select(
-            "run_id",
-            "time_column",
-            "positions",
-            (F.array_position(spots, F.col("time_pos")) - 1).cast("int").alias("time_slot"),
-            F.transform(
-                "positions", lambda pos: (F.array_position(spots, pos) - 1).cast("int")
-            ).alias("slots"),
-        )
-        cells = F.array(*[F.col(f"_c{pos}") for pos in used]).cast("array<string>")
-        fields = [T.StructField(f"_c{i}", T.StringType()) for i in range(max(used, default=0) + 1)]
-        rows = (
-            spark.read.schema(T.StructType(fields))
-            .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.csv")
-            .option("escape", '"')
-            .option("maxColumns", _MAX_COLUMNS)
-            .csv(source)
-            .select(F.col("_metadata.file_path").alias("run_id"), cells.alias("cells"))
+    if not files:
+        files_read = spark.createDataFrame([], "run_id string, line string")
+    else:
+        files_read = spark.read.text(file_paths(files)).select(
+            F.col("_metadata.file_path").alias("run_id"),
+            F.col("value").alias("line"),
         )
-        return _readings(rows.filter(here).join(F.broadcast(plan), "run_id"))
-
-    return _by_group(_plan(layout), broadcast_bytes, scan)
-
-
-def read_counter_logs(
-    spark: SparkSession, root: str, patterns: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Layouts and samples (with tick rows) of every log under ``root``."""
-    layout = settle(layouts(read_headers(list_logs(spark, root)), patterns), "layouts")
-    return layout, read_samples(spark, root, layout)
+    return _parsed(files_read, F.broadcast(_plan(layout)))

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 def write_report(report: DataFrame, path: str, form: str = "csv") -> bool:
     """Overwrite ``path`` with the wide report; an empty report is not written.
 
-    The wide report has one row per metric, so one ordered file holds it.
+    Files are written by the tasks of the report's sort, so their names follow the
+    order of rows; each has the header.
     """
     if report.isEmpty():
         return False
-    writer = report.coalesce(1).write.mode("overwrite")
+    writer = report.write.mode("overwrite")
     if form == "csv":
         writer.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
     else:

@@ -1,15 +1,20 @@
 """Ingested logs as parquet tables.
 
 ``samples``, ``bins`` (their five-minute statistics, which is what reports read),
-``counters`` and ``runs`` (the manifest) hold one folder per batch.
-The manifest folder of a batch is written last: a batch that failed half-way is
-not visible, and the next attempt overwrites it.
+``counters`` and ``runs`` (the manifest) hold one folder per batch, named by a
+random id that no other writer can have. The ``commits`` record of a batch is
+written last: a batch that failed half-way has none and stays invisible, and what
+is visible is never written again. Every writer, batch or stream, takes only files
+that the manifest does not hold. ``failures`` lists files that could not be read;
+they are tried again at the next call.
 """
 
-from math import ceil
+import uuid
+from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,21 +22,30 @@ from counterloom.operators.runs import new_runs, run_status
 from counterloom.operators.select import baseline_counters
 from counterloom.operators.series import find_cut
 from counterloom.operators.stats import baseline_bins, bin_samples, binned_bounds
-from counterloom.schema import BINS, COUNTERS, RUNS, SAMPLES, TICK
-from counterloom.shared import settle
+from counterloom.schema import (
+    BINS,
+    COMMITS,
+    COUNTERS,
+    FAILURES,
+    RUNS,
+    SAMPLES,
+    TICK,
+    UNREADABLE,
+)
+from counterloom.shared import delete_folder, new_folder, settle, settled_scope
 from counterloom.sources.counter_logs import (
+    ROUND_FILES,
     counter_dictionary,
-    file_paths,
     layouts,
     list_logs,
     read_headers,
     read_samples,
 )
 
-FILES_PER_BATCH = 2000
-
 _TABLES = {"samples": SAMPLES, "bins": BINS, "counters": COUNTERS, "runs": RUNS}
 
+File = tuple[str, int]
+
 
 class Store(NamedTuple):
     samples: DataFrame
@@ -40,45 +54,61 @@ class Store(NamedTuple):
     runs: DataFrame
 
 
-def _read(spark: SparkSession, store: str, table: str) -> DataFrame:
-    columns = f"{_TABLES[table]}, batch long"
+class Summary(NamedTuple):
+    """Files of one ingest call: all, not yet ingested, already ingested, unreadable."""
+
+    found: int
+    new: int
+    skipped: int
+    failed: int
+
+
+def _read(spark: SparkSession, path: str, columns: str) -> DataFrame:
     try:
-        return spark.read.schema(columns).parquet(f"{store}/{table}")
+        return spark.read.schema(columns).parquet(path)
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], columns)
 
 
-def last_batch(spark: SparkSession, store: str) -> int:
-    last = _read(spark, store, "runs").agg(F.max("batch").alias("batch")).first().batch
-    return -1 if last is None else last
+def commits(spark: SparkSession, store: str) -> DataFrame:
+    """One row per committed batch."""
+    return _read(spark, f"{store}/commits", COMMITS)
 
 
 def open_store(spark: SparkSession, store: str) -> Store:
-    """The committed batches."""
-    committed = F.col("batch") <= last_batch(spark, store)
-    return Store(
-        *[_read(spark, store, t).filter(committed).drop("batch") for t in Store._fields]
-    )
+    """The tables of all committed batches."""
+    known = commits(spark, store).select("batch")
+    tables = [
+        _read(spark, f"{store}/{name}", f"{columns}, batch string")
+        .join(known, "batch", "left_semi")
+        .drop("batch")
+        for name, columns in _TABLES.items()
+    ]
+    return Store(*tables)
+
+
+def failures(spark: SparkSession, store: str) -> DataFrame:
+    """Files that could not be read, once per attempt, with the error."""
+    return _read(spark, f"{store}/failures", FAILURES)
 
 
 def run_table(
-    samples: DataFrame, bins: DataFrame, layout: DataFrame, baseline: str
+    bins: DataFrame, bad: DataFrame, layout: DataFrame, baseline: str
 ) -> DataFrame:
     """Manifest rows: size, row and cell counts, baseline, cut and status of each run."""
     is_tick = F.col("pos") == TICK
-    bad = samples.filter(is_tick & F.col("ts").isNull()).groupBy("run_id")
     counts = bins.groupBy("run_id").agg(
-        F.sum(F.when(is_tick, F.col("rows"))).alias("rows"),
+        F.sum(F.when(is_tick & F.col("bin").isNotNull(), F.col("rows"))).alias("rows"),
         F.sum("n").alias("readings"),
     )
-    baselines = settle(baseline_counters(counter_dictionary(layout), baseline), "baselines")
+    baselines = baseline_counters(counter_dictionary(layout), baseline)
     cuts = find_cut(baseline_bins(bins, baselines), binned_bounds(bins))
     cells = F.coalesce(F.col("rows"), F.lit(0)) * F.size("wanted")
     runs = (
         layout.join(counts, "run_id", "left")
-        .join(bad.agg(F.count("*").alias("bad_rows")), "run_id", "left")
+        .join(bad, "run_id", "left")
         .select(
             "run_id",
             "size_bytes",
@@ -92,31 +122,122 @@ def run_table(
     return run_status(runs, baselines, cuts)
 
 
-def ingest_files(
+def _bad_rows(bins: DataFrame) -> DataFrame:
+    """Lines without a readable time stamp: tick rows outside every bin."""
+    lost = bins.filter((F.col("pos") == TICK) & F.col("bin").isNull())
+    return lost.groupBy("run_id").agg(F.sum("rows").alias("bad_rows"))
+
+
+def _ingest_batch(
     spark: SparkSession,
     store: str,
-    batch: int,
-    files: list[tuple[str, int]],
+    files: list[File],
+    headers: DataFrame,
     patterns: list[str],
     baseline: str,
+    time_column: str | None,
+    keep_samples: bool,
 ) -> None:
-    """Ingest files (run and size) as one batch; repeating a batch replaces it."""
-    logs = spark.createDataFrame(files, "run_id string, size_bytes long")
-    layout = settle(layouts(read_headers(logs), [*patterns, baseline]), "layouts")
+    """All tables of one batch, then its commit record."""
+    batch = uuid.uuid4().hex
+    written = []
 
     def write(table: str, df: DataFrame) -> DataFrame:
         path = f"{store}/{table}/batch={batch}"
-        df.write.mode("overwrite").parquet(path)
+        written.append(path)
+        df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    # Rebalancing by run gives files of the advisory size and splits large runs.
-    scan = read_samples(spark, file_paths([run_id for run_id, _ in files]), layout)
-    ordered = scan.hint("rebalance", "run_id").sortWithinPartitions("run_id", "pos", "ts")
-    samples = write("samples", ordered.select("run_id", "ts", "pos", "value"))
-    bins = write("bins", bin_samples(samples))
-    write("counters", counter_dictionary(layout))
-    runs = run_table(samples, bins, layout, baseline)
-    write("runs", runs.withColumn("ingested_at", F.current_timestamp()))
+    try:
+        layout = settle(layouts(headers, [*patterns, baseline], time_column), "layouts")
+        samples = read_samples(spark, [run_id for run_id, _ in files], layout)
+        if keep_samples:
+            # Straight from the scan: its tasks hold the lines of few files, in order.
+            samples = write("samples", samples)
+        bins = write("bins", bin_samples(samples))
+        write("counters", counter_dictionary(layout))
+        runs = run_table(bins, _bad_rows(bins), layout, baseline)
+        write("runs", runs.withColumn("ingested_at", F.current_timestamp()))
+    except BaseException:
+        for path in written:
+            delete_folder(spark, path)
+        raise
+    record = spark.createDataFrame([(batch, len(files))], "batch string, files long")
+    record.coalesce(1).write.mode("append").parquet(f"{store}/commits")
+
+
+def _is_read_error(error: PySparkException) -> bool:
+    text = str(error)
+    return any(name in text for name in ("FAILED_READ_FILE", "FileNotFoundException", "PATH_NOT_FOUND"))
+
+
+def ingest_files(
+    spark: SparkSession,
+    store: str,
+    files: list[File],
+    headers: DataFrame | None = None,
+    patterns: list[str] = (),
+    baseline: str = "",
+    time_column: str | None = None,
+    keep_samples: bool = True,
+) -> int:
+    """Ingest one round of files (run and size); returns how many could not be read.
+
+    Files whose header cannot be read are set aside first. If the scan fails on a
+    file all the same, the round is halved until the file stands alone; the others
+    are ingested.
+    """
+    if not files:
+        return 0
+    logs = spark.createDataFrame(files, "run_id string, size_bytes long")
+    if headers is None:
+        own = read_headers(logs)
+    else:
+        own = logs.join(headers.drop("size_bytes"), "run_id", "left")
+        if "error" not in headers.columns:
+            own = own.withColumn("error", F.lit(None).cast("string"))
+        missing = F.col("header").isNull() & F.col("error").isNull()
+        own = own.withColumn("error", F.when(missing, "no header given").otherwise(F.col("error")))
+    own = settle(own, "headers")
+    # At most a round of files.
+    broken = {row.run_id: row.error for row in own.filter("error is not null").collect()}
+    good = [file for file in files if file[0] not in broken]
+    rest = own.filter("error is null").drop("error")
+    if good:
+        _ingest_scanned(
+            spark, store, good, rest, patterns, baseline, time_column, keep_samples, broken
+        )
+    if broken:
+        rows = [(run_id, UNREADABLE, error) for run_id, error in broken.items()]
+        table = spark.createDataFrame(rows, "run_id string, status string, error string")
+        table = table.withColumn("failed_at", F.current_timestamp()).coalesce(1)
+        table.write.mode("append").parquet(f"{store}/failures")
+    return len(broken)
+
+
+def _ingest_scanned(spark, store, files, headers, patterns, baseline, time_column, keep, broken):
+    try:
+        _ingest_batch(spark, store, files, headers, patterns, baseline, time_column, keep)
+    except PySparkException as error:
+        if not _is_read_error(error):
+            raise
+        if len(files) == 1:
+            broken[files[0][0]] = str(error).split("\n", 1)[0]
+            return
+        middle = len(files) // 2
+        for half in (files[:middle], files[middle:]):
+            names = spark.createDataFrame([(run_id,) for run_id, _ in half], "run_id string")
+            own = headers.join(names, "run_id", "left_semi")
+            _ingest_scanned(
+                spark, store, half, own, patterns, baseline, time_column, keep, broken
+            )
+
+
+def _rounds(pending: DataFrame, size: int) -> Iterator[list[File]]:
+    """Files in rounds of fixed size; names come from one pass, one partition at a time."""
+    rows = (tuple(row) for row in pending.select("run_id", "size_bytes").toLocalIterator())
+    while batch := list(islice(rows, size)):
+        yield batch
 
 
 def ingest_new(
@@ -125,15 +246,40 @@ def ingest_new(
     store: str,
     patterns: list[str],
     baseline: str,
-    files_per_batch: int = FILES_PER_BATCH,
-) -> None:
-    """Ingest the files under ``root`` that are not in the store yet, batch by batch."""
-    pending = settle(new_runs(list_logs(spark, root), _read(spark, store, "runs")), "pending")
-    groups = ceil(pending.count() / files_per_batch)
-    batch = last_batch(spark, store)
-    group = F.pmod(F.xxhash64("run_id"), F.lit(groups))
-    for number in range(groups):
-        files = [tuple(row) for row in pending.filter(group == number).collect()]
-        if files:
-            batch += 1
-            ingest_files(spark, store, batch, files, patterns, baseline)
+    headers: DataFrame | None = None,
+    time_column: str | None = None,
+    round_files: int = ROUND_FILES,
+    keep_samples: bool = True,
+) -> Summary:
+    """Ingest the files under ``root`` that are not in the store yet, round by round.
+
+    ``headers`` (``run_id, header``) replaces the reading of first lines, for
+    stores that only Spark reaches.
+    """
+    with settled_scope(spark):
+        listed = settle(list_logs(spark, root), "listed")
+        pending = settle(new_runs(listed, open_store(spark, store).runs), "pending")
+        found, new = listed.count(), pending.count()
+        failed = 0
+        for files in _rounds(pending, round_files):
+            failed += ingest_files(
+                spark, store, files, headers, patterns, baseline, time_column, keep_samples
+            )
+    return Summary(found, new, found - new, failed)
+
+
+def extract_rounds(
+    spark: SparkSession,
+    root: str,
+    patterns: list[str],
+    headers: DataFrame | None = None,
+    time_column: str | None = None,
+    round_files: int = ROUND_FILES,
+) -> tuple[DataFrame, DataFrame]:
+    """Readings and counters of all logs under ``root``, through rounds as in ingest."""
+    store = new_folder(spark, "extract")
+    ingest_new(
+        spark, root, store, patterns, patterns[0], headers, time_column, round_files
+    )
+    tables = open_store(spark, store)
+    return tables.samples.filter(F.col("pos") != TICK), tables.counters

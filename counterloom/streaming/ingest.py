@@ -4,8 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from counterloom.operators.runs import new_runs
 from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS
-from counterloom.sources.store import FILES_PER_BATCH, ingest_files
+from counterloom.shared import settled_scope
+from counterloom.sources.counter_logs import ROUND_FILES
+from counterloom.sources.store import ingest_files, open_store
 
 # The columns of Spark's binary file source.
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -18,27 +21,31 @@ def stream_logs(
     checkpoint: str,
     patterns: list[str] = DEFAULT_PATTERNS,
     baseline: str = DEFAULT_BASELINE,
-    files_per_batch: int = FILES_PER_BATCH,
+    headers: DataFrame | None = None,
+    time_column: str | None = None,
+    round_files: int = ROUND_FILES,
 ) -> StreamingQuery:
     """Ingest all files that arrived since the last call, then stop.
 
     The stream carries file names, not contents. The checkpoint remembers which
-    files were seen; a batch number that runs again replaces its own output, so
-    each file is ingested exactly once. Use either this or ``ingest_new`` on a
-    store, not both.
+    files were seen; the manifest of the store decides which of them are new, so a
+    micro-batch that runs again, a lost checkpoint, a second stream or
+    ``ingest_new`` on the same store neither lose nor repeat a file.
     """
 
     def ingest(files: DataFrame, batch: int) -> None:
-        found = [tuple(row) for row in files.collect()]
-        if found:
-            ingest_files(spark, store, batch, found, patterns, baseline)
+        fresh = new_runs(files, open_store(files.sparkSession, store).runs)
+        # At most round_files rows.
+        found = [tuple(row) for row in fresh.collect()]
+        with settled_scope(spark):
+            ingest_files(spark, store, found, headers, patterns, baseline, time_column)
 
     return (
         spark.readStream.format("binaryFile")
         .schema(_FILE_SCHEMA)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", "*.csv")
-        .option("maxFilesPerTrigger", files_per_batch)
+        .option("maxFilesPerTrigger", round_files)
         .load(root)
         .select(F.col("_metadata.file_path").alias("run_id"), F.col("length").alias("size_bytes"))
         .writeStream.foreachBatch(ingest)
