@@ -9,7 +9,12 @@ from counterloom.llm.block_topk import top_products
 from counterloom.llm.bpe import round_trip
 from counterloom.llm.hilbert import document_shards
 from counterloom.llm.line_crf import line_quality
-from counterloom.llm.oracle import TOP_PRODUCTS_SQL
+from counterloom.llm.oracle import (
+    PASSAGES_SQL,
+    QUALITY_SQL,
+    REVISITS_SQL,
+    TOP_PRODUCTS_SQL,
+)
 from counterloom.llm.packing import pack_documents
 from counterloom.llm.quality_rules import quality_rules
 from counterloom.llm.simhash import near_duplicates
@@ -81,4 +86,9 @@ QUERIES: dict[str, Query] = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLE: dict[str, str] = {"op3_block_topk": TOP_PRODUCTS_SQL}
+ORACLE: dict[str, str] = {
+    "op3_block_topk": TOP_PRODUCTS_SQL,
+    "op5_suffix_dedup": PASSAGES_SQL,
+    "op9_warc_revisits": REVISITS_SQL,
+    "op10_quality_rules": QUALITY_SQL,
+}

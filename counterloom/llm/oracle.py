@@ -1,5 +1,7 @@
 """SQL counterparts of queries that SQL can express, for DuckDB."""
 
+from counterloom.llm.quality_rules import LANGUAGES, OTHER, RULES
+
 TOP_PRODUCTS_SQL = """
 WITH rows AS (
     SELECT vec_id, min(list_transform(
@@ -23,3 +25,130 @@ ranked AS (
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
+
+PASSAGES_SQL = r"""
+WITH texts AS (
+    SELECT doc_id, list_filter(
+        string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''
+    ) AS words
+    FROM documents
+),
+placed AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM texts),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS place FROM texts),
+windows AS (
+    SELECT doc_id, place, sha256(array_to_string(words[place:place + 49], ' ')) AS passage FROM starts
+),
+firsts AS (SELECT passage, min(doc_id) AS first FROM windows GROUP BY passage),
+gone AS (
+    SELECT DISTINCT doc_id, unnest(range(place, place + 50)) AS place
+    FROM windows JOIN firsts USING (passage) WHERE first < doc_id
+),
+rest AS (
+    SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS kept
+    FROM placed ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed,
+    sha256(coalesce(kept, '')) AS kept_sha256
+FROM texts LEFT JOIN rest USING (doc_id)
+"""
+
+REVISITS_SQL = """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+),
+fives AS (
+    SELECT *, list_transform(range(8), lambda i: ('0x' || hex[i * 5 + 1:i * 5 + 5])::BIGINT) AS parts
+    FROM payloads
+),
+coded AS (
+    SELECT page_id, payload, array_to_string(list_transform(parts, lambda v: array_to_string(
+        list_transform([15, 10, 5, 0], lambda s:
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((v >> s::INTEGER) & 31) + 1]), '')), '') AS digest
+    FROM fives
+),
+firsts AS (SELECT payload, min(page_id) AS first FROM payloads GROUP BY payload)
+SELECT page_id, strlen(payload) AS payload_bytes, digest AS payload_digest,
+    CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first THEN first END AS refers_to
+FROM coded JOIN firsts USING (payload)
+"""
+
+_CUTOFFS = ", ".join(
+    f"('{rule.name}', {step}, '{cutoff!r}'::DOUBLE)"
+    for rule in RULES
+    for step, cutoff in enumerate(rule.cutoffs())
+)
+_VALUES = " UNION ALL ".join(
+    f"SELECT doc_id, stratum, base_failed, '{rule.name}' AS rule,"
+    f" {rule.top}::DOUBLE / greatest({rule.bottom}, 1) AS value FROM measured"
+    for rule in RULES
+)
+_ALPHA = f"(0.02::DOUBLE / {len(RULES)})"
+_DELTA = f"(0.05::DOUBLE / {len(RULES) * (len(LANGUAGES) + 1)})"
+
+QUALITY_SQL = rf"""
+WITH texts AS (
+    SELECT doc_id, coalesce(text, '') AS text,
+        CASE WHEN lang IN {LANGUAGES} THEN lang ELSE '{OTHER}' END AS stratum,
+        list_filter(
+            string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''
+        ) AS words,
+        list_filter(
+            string_split(coalesce(text, ''), chr(10)),
+            lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')
+        ) AS lines
+    FROM documents
+),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS place FROM texts),
+triples AS (SELECT doc_id, place, words[place:place + 2] AS triple FROM starts),
+often AS (SELECT doc_id, triple FROM triples GROUP BY ALL HAVING count(*) > 1),
+covered AS (
+    SELECT DISTINCT doc_id, unnest([place, place + 1, place + 2]) AS place
+    FROM triples JOIN often USING (doc_id, triple)
+),
+repeats AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+counted AS (
+    SELECT doc_id, stratum, len(words)::BIGINT AS n_words,
+        coalesce(list_sum(list_transform(words, lambda x: len(x))), 0)::BIGINT AS word_chars,
+        (len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+        (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+        coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines,
+        (len(text) - len(regexp_replace(text, '[A-Z]', '', 'g')))::BIGINT AS n_upper
+    FROM texts LEFT JOIN repeats USING (doc_id)
+),
+measured AS (
+    SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+),
+valued AS ({_VALUES}),
+known AS (
+    SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
+),
+cutoffs(rule, step, cutoff) AS (VALUES {_CUTOFFS}),
+tried AS (
+    SELECT stratum, rule, step, cutoff, count(*) FILTER (quality = 1) AS n,
+        count(*) FILTER (quality = 1 AND value > cutoff) AS k,
+        count(*) FILTER (quality = 0 AND value > cutoff) AS bad
+    FROM valued JOIN known USING (doc_id) JOIN cutoffs USING (rule)
+    WHERE NOT base_failed GROUP BY ALL
+),
+bounded AS (
+    SELECT *, n > 0 AND (CASE WHEN k >= n THEN 1 ELSE list_sum(list_transform(
+        range(k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1)
+            + i * ln({_ALPHA}) + (n - i) * ln(1 - {_ALPHA})))) END) <= {_DELTA} AS certain
+    FROM tried
+),
+walked AS (
+    SELECT *, bool_and(certain) OVER (PARTITION BY stratum, rule ORDER BY step) AS certified
+    FROM bounded
+),
+chosen AS (
+    SELECT stratum, rule, arg_min(cutoff, (k - bad, step)) AS cutoff
+    FROM walked WHERE certified AND bad > k GROUP BY stratum, rule
+),
+broken AS (
+    SELECT DISTINCT doc_id FROM valued JOIN chosen USING (stratum, rule) WHERE value > cutoff
+)
+SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND b.doc_id IS NULL AS kept
+FROM measured m LEFT JOIN broken b ON m.doc_id = b.doc_id
+"""
