@@ -190,17 +190,18 @@ def print_links(
     )
 
 
-def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    shingle: int = SHINGLE,
-    radius: int = RADIUS,
-) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` of every document."""
+def _components(
+    docs: DataFrame, doc_id: str, text: str, shingle: int, radius: int
+) -> tuple[DataFrame, DataFrame]:
+    """Settled ``doc_id, key, fp`` of every row and ``fp, root, component_id``.
+
+    ``key`` tells apart texts that share an id.
+    """
     ship(docs.sparkSession)
     marked = docs.select(
-        F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")
+        F.col(doc_id).alias("doc_id"),
+        F.xxhash64(text).alias("key"),
+        fingerprint(F.col(text), shingle).alias("fp"),
     )
     marked = settle(marked, "fingerprints")
     firsts = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "prints")
@@ -211,7 +212,19 @@ def near_duplicates(
     grouped = settle(grouped, "grouped")
     discard(firsts)
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = settle(grouped.join(smallest, "root").select("fp", "component_id"), "components")
+    named = grouped.join(smallest, "root").select("fp", "root", "component_id")
+    return marked, settle(named, "components")
+
+
+def near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+) -> DataFrame:
+    """``doc_id, fingerprint, component_id`` of every document."""
+    marked, named = _components(docs, doc_id, text, shingle, radius)
     return marked.join(named, "fp").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -224,11 +237,20 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One document of every component, the one with the smallest id, as it was.
 
-    Of repeated rows with that id, one stays; rows without an id all stay.
+    Of several rows with that id one stays; rows without an id all stay.
     """
-    groups = near_duplicates(docs, doc_id, text)
-    kept = groups.filter(F.col("doc_id") == F.col("component_id"))
-    kept = kept.select(F.col("doc_id").alias(doc_id)).distinct()
-    known = docs.filter(F.col(doc_id).isNotNull())
-    chosen = known.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return chosen.unionByName(docs.filter(F.col(doc_id).isNull()))
+    marked, named = _components(docs, doc_id, text, SHINGLE, RADIUS)
+    first = F.min(F.struct("doc_id", "key")).alias("first")
+    kept = (
+        marked.join(named, "fp")
+        .filter(F.col("doc_id") == F.col("component_id"))
+        .groupBy("root")
+        .agg(first)
+        .select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
+        .distinct()
+    )
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"))
+    chosen = rows.join(kept, ["_id", "_key"], "left_semi").dropDuplicates(["_id", "_key"])
+    unknown = rows.filter(F.col("_id").isNull())
+    return chosen.unionByName(unknown).select("_row.*")
