@@ -84,6 +84,21 @@ def _baseline_metric(baseline: str) -> Column:
     return F.when(F.startswith(name, F.lit("\\\\")), path_metric(name)).otherwise(name)
 
 
+def row_places(cells: DataFrame, baseline: str) -> DataFrame:
+    """``metric, is_baseline, place``: the order of the report's rows, from 1.
+
+    Metrics are names from headers, a few thousand at most, so one task can number
+    them.
+    """
+    metrics = cells.select("metric").distinct()
+    order = Window.orderBy(*baseline_first(F.col("metric"), baseline))
+    return metrics.select(
+        "metric",
+        (F.col("metric") == _baseline_metric(baseline)).alias("is_baseline"),
+        F.row_number().over(order).alias("place"),
+    )
+
+
 def pivot_report(
     cells: DataFrame, baseline: str, columns: list[str], key: str = "label"
 ) -> DataFrame:

@@ -380,6 +380,11 @@ def report(spark, folder):
     return place_report(_statistics(spark, folder), REPORT_COLUMNS, BASELINE_METRIC)
 
 
+def report_places(spark, folder):
+    """In which order the metrics stand in the report."""
+    return reports.row_places(report_cells(_statistics(spark, folder)), BASELINE_METRIC)
+
+
 def report_roundtrip(spark, folder):
     """The same report, written as CSV and read back."""
     path = new_folder(spark, "report")
@@ -734,6 +739,7 @@ QUERIES = {
     "first_by_label": first_by_label,
     "report_long": report_long,
     "report": report,
+    "report_places": report_places,
     "report_roundtrip": report_roundtrip,
     "report_from_logs": report_from_logs,
     "report_from_store": report_from_store,

@@ -318,6 +318,10 @@ FROM widened""",
     "first_by_label": _with(*_HEAD) + "SELECT * FROM firsts",
     "report_long": _with(*_HEAD) + "SELECT * FROM cells",
     "report": _REPORT,
+    "report_places": _with(*_HEAD)
+    + r"""SELECT metric, metric = 'App(click)\Request Execution Time' AS is_baseline,
+  CAST(row_number() OVER (ORDER BY metric = 'App(click)\Request Execution Time' DESC, metric) AS INTEGER) AS place
+FROM (SELECT DISTINCT metric FROM cells)""",
     "report_roundtrip": _REPORT,
     "report_from_logs": _with(*_HEAD) + "SELECT * FROM cells",
     "report_from_store": _with(*_HEAD) + "SELECT * FROM cells",
