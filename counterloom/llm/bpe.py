@@ -21,6 +21,7 @@ UTF-8 after decoding become U+FFFD.
 import hashlib
 import json
 import re
+import struct
 from functools import cache
 
 import ahocorasick
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 
 from counterloom.llm.ship import ship
 
-KEPT_PIECES = 250_000
-KEPT_PAIRS = 1_000_000
+KEPT_PIECES = 200_000
+KEPT_PAIRS = 300_000
 
 # Fixed values of the tokenizer format: how byte-level tokenizers cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -81,6 +82,7 @@ class Encoder:
             if self.parts[whole] is None:
                 self.parts[whole], self.rank[whole] = pair, rank
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.runs: dict[str, tuple[str, bytes]] = {}
         self.pieces: dict[str, tuple[str, bytes]] = {}
         self._cut = regex.compile(PATTERN)
         names = sorted(self.special, key=len, reverse=True)
@@ -131,11 +133,12 @@ class Encoder:
         return found
 
     def encode_piece(self, piece: bytes) -> list[int]:
+        # Matches come by their ends, so the last one seen at a start is the longest.
         longest = [-1] * (len(piece) + 1)
         for end, (number, size) in self.automaton.iter(piece.decode("latin-1")):
-            start = end - size + 1
-            if longest[start] < 0 or len(self.bytes[longest[start]]) < size:
-                longest[start] = number
+            longest[end - size + 1] = number
+        if len(self.bytes[longest[0]]) == len(piece):
+            return [longest[0]]
         alive = bytearray(b"\1") * (len(piece) + 1)
         tokens: list[int] = []
         at, token = 0, longest[0]
@@ -154,21 +157,29 @@ class Encoder:
 
     def _run(self, run: str) -> tuple[str, bytes]:
         """Ids of a run as text and as 32-bit numbers."""
-        ids = [i for piece in self._cut.findall(run) for i in self.encode_piece(piece.encode())]
-        found = (",".join(map(str, ids)), np.array(ids, dtype="<u4").tobytes())
+        known, fresh = self.pieces.get, self._piece
+        found = [known(piece) or fresh(piece) for piece in self._cut.findall(run)]
+        joined = ",".join([names for names, _ in found]), b"".join([ids for _, ids in found])
+        if len(self.runs) < KEPT_PIECES:
+            self.runs[run] = joined
+        return joined
+
+    def _piece(self, piece: str) -> tuple[str, bytes]:
+        ids = self.encode_piece(piece.encode())
+        found = (",".join(map(str, ids)), struct.pack(f"<{len(ids)}I", *ids))
         if len(self.pieces) < KEPT_PIECES:
-            self.pieces[run] = found
+            self.pieces[piece] = found
         return found
 
     def _runs(self, text: str) -> list[tuple[str, bytes]]:
         out, at = [], 0
         for match in [*self._special.finditer(text), None]:
             stop = match.start() if match else len(text)
-            known, fresh = self.pieces.get, self._run
+            known, fresh = self.runs.get, self._run
             out += [known(run) or fresh(run) for run in _RUNS.findall(text[at:stop])]
             if match:
                 number = self.special[match[0]]
-                out.append((str(number), np.array([number], dtype="<u4").tobytes()))
+                out.append((str(number), struct.pack("<I", number)))
                 at = match.end()
         return out
 
