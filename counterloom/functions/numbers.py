@@ -13,7 +13,7 @@ def plain_double(text: Column) -> Column:
     Spark's cast drops the blanks, but also takes type suffixes, hex floats and
     names such as NaN; only digits, signs, a point and an exponent may reach it.
     """
-    plain = F.translate(text, _NUMBER_CHARACTERS, "") == ""
+    plain = F.btrim(text, F.lit(_NUMBER_CHARACTERS)) == ""
     return F.when(plain, text.try_cast("double"))
 
 

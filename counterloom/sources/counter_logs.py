@@ -154,7 +154,7 @@ def _readings(celled: DataFrame) -> DataFrame:
     A filter on a column made from cells would be moved below the step that makes
     them and repeat it; an inner explode implies such a filter. So every such
     column, the time stamp included, leaves through the explode, and rows are
-    dropped after it. Header lines become null arrays.
+    dropped after it. Header lines and blank ones become null arrays.
     """
     time_cell = F.get("cells", F.col("time_pos"))
     texts = F.transform("positions", lambda pos: F.when(pos >= 0, F.get("cells", pos)))
@@ -163,7 +163,7 @@ def _readings(celled: DataFrame) -> DataFrame:
         F.col("positions").alias("pos"),
         F.transform(texts, plain_double).alias("value"),
     )
-    is_data = ~F.equal_null(time_cell, F.col("time_column"))
+    is_data = ~F.equal_null(time_cell, F.col("time_column")) & (F.trim("line") != "")
     known = F.col("ts").isNotNull() & is_finite(F.col("value"))
     return (
         celled.select("run_id", F.when(is_data, readings).alias("readings"))
@@ -185,8 +185,7 @@ def parse_lines(lines: DataFrame, layout: DataFrame) -> DataFrame:
 
 
 def _parsed(lines: DataFrame, plan: DataFrame) -> DataFrame:
-    filled = lines.filter(F.trim("line") != "")
-    split = filled.join(plan, "run_id").withColumn("fast", quoted_cells(F.col("line")))
+    split = lines.join(plan, "run_id").withColumn("fast", quoted_cells(F.col("line")))
     whole = F.when(F.size("fast") == F.col("columns"), F.col("fast"))
     return _readings(split.withColumn("cells", whole.otherwise(csv_cells(F.col("line")))))
 
