@@ -26,6 +26,7 @@ Repeated rows are packed as often as they occur. Only the named columns are read
 import json
 import os
 import re
+import struct
 import zlib
 from functools import cache
 from itertools import accumulate
@@ -48,7 +49,8 @@ CAPACITY = 4096
 END = 1
 GROUPS = 1024
 SMALL = 8
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
+KEPT_PIECES = 200_000
 _TEXTS = 64
 
 
@@ -91,7 +93,9 @@ class WordIds:
         ]
         patterns = [s["pattern"].get("Regex") for s in steps if s["type"] == "Split"]
         self.by_word = [s["type"] for s in steps] == _STEPS and patterns == [_PATTERN]
-        self.special = [t["content"].encode() for t in spec["added_tokens"]]
+        names = [re.escape(t["content"].encode()) for t in spec["added_tokens"]]
+        self.special = re.compile(b"|".join(names) or b"(?!)")
+        self.model = self.tokenizer.model
         self.letters = {byte: letter for letter, byte in byte_letters().items()}
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -101,16 +105,20 @@ class WordIds:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
 
     def _piece(self, piece: str) -> bytes:
-        mapped = "".join([self.letters[byte] for byte in piece.encode()])
-        ids = [token.id for token in self.tokenizer.model.tokenize(mapped)]
-        packed = np.array(ids, dtype="<u4").tobytes()
-        if len(self.pieces) < KEPT_WORDS:
+        if not piece.isascii():  # visible ASCII letters stand for themselves
+            letters = self.letters
+            mapped = "".join([letters[byte] for byte in piece.encode()])
+        else:
+            mapped = piece
+        ids = [token.id for token in self.model.tokenize(mapped)]
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(self.pieces) < KEPT_PIECES:
             self.pieces[piece] = packed
         return packed
 
     def _word(self, word: bytes) -> bytes:
         text = word.decode()
-        if _PLAIN.fullmatch(text) and not any(name in word for name in self.special):
+        if _PLAIN.fullmatch(text) and not self.special.search(word):
             get = self.pieces.get
             return b"".join([get(p) or self._piece(p) for p in _CUT.findall(text.lower())])
         return self._whole([text])[0]
@@ -365,7 +373,8 @@ def pack_pieces(
     )
     within = Window.partitionBy("part", "length").orderBy("doc_id", "piece")
     ranked = stored.withColumn("place", F.row_number().over(within) - 1)
-    ranked = ranked.join(base, ["part", "length"])
+    # Bases grow with the tasks, and the pieces already lie by part and length.
+    ranked = ranked.join(base.hint("merge"), ["part", "length"])
     ranked = ranked.withColumn("rank", (F.col("base") + F.col("place")).cast("long"))
     return ranked.withColumn("p", _placed(table)).select(
         *pieces.columns, "p.sequence_id", "p.offset"
