@@ -21,6 +21,7 @@ vector counts. Shorter vectors are filled up with zeros. Components saturate at
 """
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,7 @@ TOP = 20
 SCALE = 64
 EVERY = 20
 GROUP = 4096
+GROUPS_PER_TASK = 4
 BLOCK = 256
 PIVOTS = 64
 LIMIT = 1 << 24
@@ -211,7 +213,10 @@ def top_products(
     pivots = np.zeros((max(len(chosen), 1), width), dtype=np.int64)
     for row, vector in zip(pivots, chosen):
         row[: len(vector.v)] = vector.v
-    ordered = whole.withColumn("near", _nearest(pivots)).repartitionByRange("near", "vec_id")
+    # A few whole groups a partition, so that few groups are smaller than the others.
+    tasks = max(1, ceil(whole.count() / (GROUPS_PER_TASK * group)))
+    near = whole.withColumn("near", _nearest(pivots))
+    ordered = near.repartitionByRange(tasks, "near", "vec_id")
     ordered = ordered.sortWithinPartitions("near", "vec_id").select("vec_id", "v")
     groups = ordered.mapInArrow(_groups(width, every, k, group), _GROUP_ROW)
     groups = settle(groups.withColumn("number", F.monotonically_increasing_id()), "groups")
