@@ -49,8 +49,8 @@ CAPACITY = 4096
 END = 1
 GROUPS = 1024
 SMALL = 8
-KEPT_WORDS = 400_000
-KEPT_PIECES = 200_000
+KEPT_WORDS = 200_000
+KEPT_PIECES = 150_000
 _TEXTS = 64
 
 
