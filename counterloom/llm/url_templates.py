@@ -84,6 +84,11 @@ def shape_of(path: Column, depth: int = DEPTH) -> Column:
     )
 
 
+def full_of(shape: Column) -> Column:
+    """A slash before every segment, so that no two shapes of a path are one key."""
+    return F.array_join(F.transform(shape, lambda segment: F.concat(F.lit("/"), segment)), "")
+
+
 def _class_of(segment: Column) -> Column:
     return (
         F.when(segment.isNull(), "none")
@@ -175,11 +180,11 @@ def path_templates(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``host, full, template, purity``: the template of every shape of every host.
 
     ``labelled``: ``host, path, bad`` (1, 0 or null without a label), a row per page;
-    ``full`` is the shape joined by ``/``.
+    ``full`` is the shape with a ``/`` before every segment.
     """
     ship(labelled.sparkSession)
     shaped = labelled.select("host", shape_of(F.col("path"), depth).alias("shape"), "bad")
-    tree = shaped.groupBy("host", F.array_join("shape", "/").alias("full"), "shape").agg(
+    tree = shaped.groupBy("host", full_of(F.col("shape")).alias("full"), "shape").agg(
         F.count("*").alias("pages"),
         F.count("bad").alias("labelled"),
         F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"),
@@ -212,7 +217,7 @@ def judge_urls(
     ruled = named.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
     bad = F.when(F.col("fit").isNotNull(), (F.col("fit.verdict") == BLOCK).cast("int"))
     templates = path_templates(ruled.select("host", "path", bad.alias("bad")), depth)
-    full = F.array_join(shape_of(F.col("path"), depth), "/")
+    full = full_of(shape_of(F.col("path"), depth))
     learnt = F.when(F.col("purity") > purity, BLOCK).otherwise(ALLOW)
     return (
         ruled.withColumn("full", full)
