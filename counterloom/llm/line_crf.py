@@ -7,9 +7,9 @@ log-likelihood (forward-backward), every line carrying the label of its document
 The quality of a document is the mean of its lines' marginal probabilities of
 "good", weighted by line length.
 
-Training takes a bounded sample, set by parameters: the ``sample_docs`` labelled
-documents with the smallest hash of their id, and of each at most
-``sample_lines`` consecutive lines. Scores use whole texts.
+Training takes a bounded sample, set by parameters: of the documents that are there
+and labelled the ``sample_docs`` with the smallest hash of their id, and of each at
+most ``sample_lines`` consecutive lines. Scores use whole texts.
 
 Defined cases: lines without a word are skipped; a null or blank text is scored
 as one empty line. Without two classes of labels, every score is the smoothed
@@ -246,7 +246,9 @@ def train(
         .filter(F.col("quality") == F.col("most"))
     )
     place = F.xxhash64("labelled")
-    chosen = agreed.orderBy(place, "labelled").limit(sample_docs)
+    # Labels without a document take no place in the sample.
+    present = agreed.join(docs.select(F.col(doc_id).alias("labelled")), "labelled", "left_semi")
+    chosen = present.orderBy(place, "labelled").limit(sample_docs)
     # At most sample_docs rows, so the broadcast is bounded.
     rows = (
         docs.select(F.col(doc_id).alias("labelled"), F.col(text).alias("text"))
@@ -288,10 +290,17 @@ def line_quality(
 
 
 def keep_good(
-    docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    labels: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """The documents predicted good, with all their columns; texts are not shuffled."""
-    field = train(docs, labels, doc_id, text)
+    """The documents predicted good, with all their columns; texts are not shuffled.
+
+    ``known``: the documents to learn from, where ``docs`` has lost labelled ones.
+    """
+    field = train(docs if known is None else known, labels, doc_id, text)
     row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
     scored = docs.select(row, score(F.col(text), field).alias("score"))
     return scored.filter(F.col("score") >= CUT).select("row.*")
