@@ -233,13 +233,17 @@ def near_duplicates(
 
 
 def drop_near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
 ) -> DataFrame:
     """One document of every component, the one with the smallest id, as it was.
 
     Of several rows with that id one stays; rows without an id all stay.
     """
-    marked, named = _components(docs, doc_id, text, SHINGLE, RADIUS)
+    marked, named = _components(docs, doc_id, text, shingle, radius)
     first = F.min(F.struct("doc_id", "key")).alias("first")
     kept = (
         marked.join(named, "fp")
