@@ -1,24 +1,33 @@
 """Intermediate tables in the folder that the driver and all executors share."""
 
 import uuid
+import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[str]] = []
+# Folders of the innermost open scope. Every thread has its own: a stream's
+# micro-batch runs beside the caller's thread and must not take its folders along.
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, else one in the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/settled").rstrip("/")
+    if folder is None:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/settled"
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn(f"spark.checkpoint.dir is unset; executors must share {folder}")
+    return folder.rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
+    paths = _scope.get()
+    if paths is not None:
+        paths.append(path)
     return path
 
 
@@ -35,16 +44,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 @contextmanager
 def settled_scope(spark: SparkSession) -> Iterator[None]:
-    """Delete at the end every folder that was made inside.
+    """Delete at the end every folder that this thread made inside.
 
     Frames that read them must have been used or written elsewhere by then.
     """
     paths: list[str] = []
-    _scopes.append(paths)
+    token = _scope.set(paths)
     try:
         yield
     finally:
-        _scopes.remove(paths)
+        _scope.reset(token)
         for path in paths:
             delete_folder(spark, path)
 
