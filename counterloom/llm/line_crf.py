@@ -278,9 +278,14 @@ def line_quality(
     text: str = "text",
     sample_docs: int = 4000,
     sample_lines: int = 40,
+    known: DataFrame | None = None,
 ) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document."""
-    field = train(docs, labels, doc_id, text, sample_docs, sample_lines)
+    """``doc_id, held_out, score, predicted`` of every document.
+
+    ``known``: the documents to learn from, where ``docs`` has lost labelled ones.
+    """
+    source = docs if known is None else known
+    field = train(source, labels, doc_id, text, sample_docs, sample_lines)
     scored = docs.select(
         F.col(doc_id).alias("doc_id"),
         (remainder_of_id(doc_id, FOLDS) == HELD_OUT).alias("held_out"),
