@@ -9,6 +9,7 @@ from counterloom.llm.block_topk import top_products
 from counterloom.llm.bpe import round_trip
 from counterloom.llm.hilbert import document_shards
 from counterloom.llm.line_crf import line_quality
+from counterloom.llm.minhash import jaccard_duplicates
 from counterloom.llm.oracle import (
     PASSAGES_SQL,
     QUALITY_SQL,
@@ -73,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_duplicates(_table(spark, folder, "documents"), shingle=2)
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
+    "op12_minhash": op12_minhash,
 }
 
 ORACLE: dict[str, str] = {
