@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from counterloom.llm.block_topk import top_products
 from counterloom.llm.bpe import round_trip
+from counterloom.llm.collocations import collocations
 from counterloom.llm.hilbert import document_shards
 from counterloom.llm.line_crf import line_quality
 from counterloom.llm.minhash import jaccard_duplicates
@@ -17,6 +18,7 @@ from counterloom.llm.oracle import (
     TOP_PRODUCTS_SQL,
 )
 from counterloom.llm.packing import pack_documents
+from counterloom.llm.prefix_trie import conversation_trie
 from counterloom.llm.quality_rules import quality_rules
 from counterloom.llm.simhash import near_duplicates
 from counterloom.llm.suffix_dedup import passage_digests
@@ -74,10 +76,18 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations(_table(spark, folder, "documents"))
+
+
 def op12_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_duplicates(_table(spark, folder, "documents"), shingle=2)
 
 
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie(_table(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_line_crf": op1_line_crf,
     "op2_hilbert_shards": op2_hilbert_shards,
@@ -89,7 +99,9 @@ QUERIES: dict[str, Query] = {
     "op8_simhash": op8_simhash,
     "op9_warc_revisits": op9_warc_revisits,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
     "op12_minhash": op12_minhash,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
