@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from counterloom.functions.numbers import round_half_even
 from counterloom.functions.paths import path_metric
 from counterloom.functions.times import column_label
+from counterloom.operators.reshape import numbered
 from counterloom.operators.select import describe_counters, select_by_substring
 from counterloom.operators.stats import HEAD, add_mbps_rows
 from counterloom.schema import AVG, MAX
@@ -111,3 +112,42 @@ def pivot_report(
     wide = cells.groupBy("metric").pivot(key, columns).agg(F.first("value", ignorenulls=True))
     pinned = F.col("metric") == _baseline_metric(baseline)
     return wide.withColumn("is_baseline", pinned).orderBy(*order)
+
+
+def label_dictionary(cells: DataFrame, key: str = "label") -> DataFrame:
+    """``label, column``: every label of the cells with its column number, from 1."""
+    return numbered(cells.select(F.col(key).alias("label")).distinct(), ["label"], "column")
+
+
+def unlisted_cells(cells: DataFrame, columns: list[str], key: str = "label") -> DataFrame:
+    """``label, cells``: what a report with the given columns leaves out."""
+    return (
+        cells.filter(~F.col(key).isin(columns))
+        .groupBy(F.col(key).alias("label"))
+        .agg(F.count("*").alias("cells"))
+    )
+
+
+def aligned_rows(cells: DataFrame, labels: DataFrame, baseline: str) -> DataFrame:
+    """``metric, is_baseline, values``: a row per metric, its values in column order.
+
+    ``labels`` comes from ``label_dictionary``; the width of the report is the number
+    of its rows, whatever that is. A row holds one cell per label of its metric;
+    the gaps between them are filled with nulls in one pass over the row.
+    """
+    placed = cells.join(labels, cells.label == labels.label).select("metric", "column", "value")
+    found = F.array_sort(F.collect_list(F.struct("column", "value")))
+    width = labels.agg(F.max("column")).scalar()
+    empty = F.lit(None).cast("double")
+
+    def with_gap(cell: Column, i: Column) -> Column:
+        before = F.coalesce(F.get(F.col("found"), i - 1).column, F.lit(0))
+        return F.concat(F.array_repeat(empty, (cell.column - before - 1).cast("int")), F.array(cell.value))
+
+    tail = (width - F.element_at("found", -1).column).cast("int")
+    values = F.concat(F.flatten(F.transform("found", with_gap)), F.array_repeat(empty, tail))
+    return placed.groupBy("metric").agg(found.alias("found")).select(
+        "metric",
+        (F.col("metric") == _baseline_metric(baseline)).alias("is_baseline"),
+        values.alias("values"),
+    )

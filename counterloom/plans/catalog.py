@@ -14,6 +14,7 @@ from counterloom.operators import report as reports
 from counterloom.operators import reshape, runs, select, series, stats
 from counterloom.plans.report import (
     bin_cuts,
+    found_report,
     log_statistics,
     place_report,
     report_cells,
@@ -23,7 +24,7 @@ from counterloom.plans.report import (
 from counterloom.schema import AVG, TICK
 from counterloom.shared import new_folder, settle
 from counterloom.sources.counter_logs import counter_dictionary, layouts, parse_lines
-from counterloom.sources.sinks import write_report
+from counterloom.sources.sinks import read_aligned_report, write_aligned_report, write_report
 from counterloom.sources.store import extract_rounds, ingest_new, open_store
 from counterloom.sources.tables import (
     EVENT_COUNTERS,
@@ -397,6 +398,35 @@ def report_roundtrip(spark, folder):
     )
 
 
+def report_found_columns(spark, folder):
+    """The report with all labels that the data has, written and read back cell by cell."""
+    path = new_folder(spark, "report")
+    rows, labels = found_report(_statistics(spark, folder), BASELINE_METRIC)
+    write_aligned_report(rows, labels, path)
+    labels, cells = read_aligned_report(spark, path)
+    return cells.join(labels, "column").select("metric", "column", "label", "value")
+
+
+def report_unlisted_cells(spark, folder):
+    """What a report of the first ten days leaves out, by label."""
+    placed = _statistics(spark, folder).withColumn("label", reports.label_place(F.col("label")))
+    return reports.unlisted_cells(report_cells(placed), REPORT_COLUMNS[:60])
+
+
+def report_empty_not_written(spark, folder):
+    """Reports of all days and of none: whether they were written."""
+    found = []
+    for name, days in (("all", "value is not null"), ("none", "value is null and value is not null")):
+        statistics = _statistics(spark, folder).filter(days)
+        plain = place_report(statistics, REPORT_COLUMNS, BASELINE_METRIC)
+        written = write_report(plain, new_folder(spark, "report"))
+        aligned = write_aligned_report(
+            *found_report(statistics, BASELINE_METRIC), new_folder(spark, "report")
+        )
+        found.append((name, plain.count(), written, aligned))
+    return spark.createDataFrame(found, "report string, rows long, written boolean, aligned boolean")
+
+
 def first_of_head_and_tail(spark, folder):
     """Two runs a day, before and after its cut, under one label; the first one counts."""
     samples = select.tick_others(_samples(spark, folder), [*PATTERNS, BASELINE])
@@ -741,6 +771,9 @@ QUERIES = {
     "report": report,
     "report_places": report_places,
     "report_roundtrip": report_roundtrip,
+    "report_found_columns": report_found_columns,
+    "report_unlisted_cells": report_unlisted_cells,
+    "report_empty_not_written": report_empty_not_written,
     "report_from_logs": report_from_logs,
     "report_from_store": report_from_store,
     "first_of_head_and_tail": first_of_head_and_tail,

@@ -323,6 +323,17 @@ FROM widened""",
   CAST(row_number() OVER (ORDER BY metric = 'App(click)\Request Execution Time' DESC, metric) AS INTEGER) AS place
 FROM (SELECT DISTINCT metric FROM cells)""",
     "report_roundtrip": _REPORT,
+    "report_found_columns": _with(*_HEAD)
+    + """, labels AS (
+  SELECT label, row_number() OVER (ORDER BY label) AS "column" FROM (SELECT DISTINCT label FROM cells)),
+metrics AS (SELECT DISTINCT metric FROM cells)
+SELECT metric, "column", label, value FROM metrics CROSS JOIN labels LEFT JOIN cells USING (metric, label)""",
+    "report_unlisted_cells": _with(*_HEAD)
+    + f"""SELECT label, count(*) AS cells FROM (SELECT DISTINCT metric, {_PLACE} AS label FROM cells)
+WHERE left(label, 2) > '10' GROUP BY label""",
+    "report_empty_not_written": _with(*_HEAD)
+    + """SELECT 'all' AS report, count(DISTINCT metric) AS rows, count(*) > 0 AS written, count(*) > 0 AS aligned FROM cells
+UNION ALL SELECT 'none', 0, false, false""",
     "report_from_logs": _with(*_HEAD) + "SELECT * FROM cells",
     "report_from_store": _with(*_HEAD) + "SELECT * FROM cells",
     "first_of_head_and_tail": _with(

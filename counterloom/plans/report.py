@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterloom.operators.report import (
+    aligned_rows,
     first_by_label,
+    label_dictionary,
     label_place,
     labelled_stats,
     pivot_report,
@@ -85,6 +87,19 @@ def wide_report(
     return pivot_report(report_cells(statistics), baseline, columns)
 
 
+def found_report(
+    statistics: DataFrame, baseline: str = DEFAULT_BASELINE
+) -> tuple[DataFrame, DataFrame]:
+    """The report with every label of the data as a column: its rows and its columns.
+
+    Rows (``metric, is_baseline, values``) hold their values in the order of the
+    columns (``label, column``); ``write_aligned_report`` makes one file of both.
+    """
+    cells = settle(report_cells(statistics), "cells")
+    labels = settle(label_dictionary(cells), "labels")
+    return aligned_rows(cells, labels, baseline), labels
+
+
 def place_report(
     statistics: DataFrame, columns: list[str], baseline: str = DEFAULT_BASELINE
 ) -> DataFrame:
