@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from counterloom.schema import EMPTY, NO_BASELINE, NO_NONZERO, NO_TIME_COLUMN
 
 
-def new_runs(found: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Runs that have not been ingested yet."""
-    return found.join(manifest.select("run_id"), "run_id", "left_anti")
+def new_runs(found: DataFrame, manifest: DataFrame, version: list[str] = ["run_id"]) -> DataFrame:
+    """Runs that have not been ingested yet, by the columns that tell versions apart."""
+    return found.join(manifest.select(*version), version, "left_anti")
 
 
 def run_status(runs: DataFrame, baselines: DataFrame, cuts: DataFrame) -> DataFrame:

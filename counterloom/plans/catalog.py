@@ -3,6 +3,9 @@
 Each query takes (spark, folder) and reads its tables whole.
 """
 
+import contextvars
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +26,10 @@ from counterloom.plans.report import (
 )
 from counterloom.schema import AVG, TICK
 from counterloom.shared import new_folder, settle
-from counterloom.sources.counter_logs import counter_dictionary, layouts, parse_lines
+from counterloom.sources.counter_logs import counter_dictionary, layouts, list_logs, parse_lines
+from counterloom.sources.extraction import extract_rounds
 from counterloom.sources.sinks import read_aligned_report, write_aligned_report, write_report
-from counterloom.sources.store import extract_rounds, ingest_new, open_store
+from counterloom.sources.store import VERSION, compact_store, ingest_files, ingest_new, open_store
 from counterloom.sources.tables import (
     EVENT_COUNTERS,
     LINE_COUNTERS,
@@ -588,7 +592,8 @@ def read_counter_files(spark, folder):
     """Logs written by Spark, read back by their own headers."""
     path = new_folder(spark, "logs")
     _write_logs(read_table(spark, folder, "lineitem"), path)
-    return _per_counter(*extract_rounds(spark, path, LINE_PATTERNS))
+    found = extract_rounds(spark, path, LINE_PATTERNS)
+    return _per_counter(found.samples, found.counters)
 
 
 def _two_deliveries(spark, folder, path, take) -> None:
@@ -733,6 +738,57 @@ def ingest_summary(spark, folder):
     return spark.createDataFrame(rows, columns)
 
 
+def concurrent_ingest(spark, folder):
+    """Two writers that have both seen the same new files take all of them at once."""
+    path, store = new_folder(spark, "day-logs"), new_folder(spark, "store")
+    _write_day_logs(read_table(spark, folder, "events"), path)
+    # One file a day; both writers hold the list before either has committed.
+    files = [tuple(row) for row in list_logs(spark, path).select(*VERSION).collect()]
+
+    def take():
+        return ingest_files(spark, store, files, None, EVENT_PATTERNS, BASELINE)
+
+    with ThreadPoolExecutor(2) as writers:
+        for writer in [writers.submit(contextvars.copy_context().run, take) for _ in range(2)]:
+            writer.result()
+    return report_cells(store_statistics(spark, store, BASELINE))
+
+
+def _replace_files(spark, source, target) -> None:
+    """Give every file of ``target`` the content of the one file in the same folder of ``source``."""
+    names = {row.run_id.rsplit("/", 2)[1]: row.run_id for row in list_logs(spark, source).collect()}
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    for row in list_logs(spark, target).collect():
+        old, new = to_path(row.run_id), to_path(names[row.run_id.rsplit("/", 2)[1]])
+        system = old.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.delete(old, False)
+        system.rename(new, old)
+
+
+def grown_logs(spark, folder):
+    """Logs of the mornings are ingested, grow to whole days, and are ingested again."""
+    events = read_table(spark, folder, "events")
+    path, store = new_folder(spark, "day-logs"), new_folder(spark, "store")
+    staged = new_folder(spark, "grown")
+    _write_day_logs(events.filter(F.hour("ts") < 12), path)
+    ingest_new(spark, path, store, EVENT_PATTERNS, BASELINE)
+    _write_day_logs(events, staged)
+    _replace_files(spark, staged, path)
+    ingest_new(spark, path, store, EVENT_PATTERNS, BASELINE)
+    return report_cells(store_statistics(spark, store, BASELINE))
+
+
+def compacted_store(spark, folder):
+    """The report of a store of several batches, before and after they became one."""
+    store = _store_of_days(spark, folder)
+    before = settle(report_cells(store_statistics(spark, store, BASELINE)), "cells")
+    compact_store(spark, store)
+    after = report_cells(store_statistics(spark, store, BASELINE))
+    return before.withColumn("store", F.lit("before")).unionByName(
+        after.withColumn("store", F.lit("after"))
+    )
+
+
 QUERIES = {
     "select_by_substring": select_by_substring,
     "match_patterns": match_patterns,
@@ -788,4 +844,7 @@ QUERIES = {
     "streaming_ingest": streaming_ingest,
     "mixed_ingest": mixed_ingest,
     "ingest_summary": ingest_summary,
+    "concurrent_ingest": concurrent_ingest,
+    "grown_logs": grown_logs,
+    "compacted_store": compacted_store,
 }

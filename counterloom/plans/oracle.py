@@ -370,6 +370,10 @@ SELECT run_id, -1, count(*), 0, NULL, NULL, min(ts), NULL, NULL, NULL FROM wide
     "incremental_ingest": _FILES,
     "streaming_ingest": _FILES,
     "mixed_ingest": _with(*_HEAD) + "SELECT * FROM cells",
+    "concurrent_ingest": _with(*_HEAD) + "SELECT * FROM cells",
+    "grown_logs": _with(*_HEAD) + "SELECT * FROM cells",
+    "compacted_store": _with(*_HEAD)
+    + "SELECT *, 'before' AS store FROM cells UNION ALL SELECT *, 'after' FROM cells",
     "ingest_summary": """WITH days AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events),
 counts AS (SELECT count(*) FILTER (day(day) <= 10) AS early, count(*) AS whole FROM days)
 SELECT 1::INTEGER AS call, early AS found, early AS new, 0::BIGINT AS skipped, 0::BIGINT AS failed FROM counts

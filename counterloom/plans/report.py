@@ -26,7 +26,8 @@ from counterloom.operators.stats import (
 from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS, OK
 from counterloom.shared import new_folder, settle
 from counterloom.sources.counter_logs import ROUND_FILES
-from counterloom.sources.store import extract_rounds, ingest_new, open_store
+from counterloom.sources.extraction import extract_rounds
+from counterloom.sources.store import ingest_new, open_store
 
 
 def bin_cuts(
@@ -117,10 +118,8 @@ def extract_logs(
     round_files: int = ROUND_FILES,
 ) -> DataFrame:
     """Readings of the matching counters of all logs under ``root``, with their names."""
-    samples, counters = extract_rounds(
-        spark, root, patterns, headers, time_column, round_files
-    )
-    return samples.join(counters, ["run_id", "pos"])
+    found = extract_rounds(spark, root, patterns, headers, time_column, round_files)
+    return found.samples.join(found.counters, ["run_id", "pos"])
 
 
 def log_statistics(

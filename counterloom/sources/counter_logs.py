@@ -42,6 +42,7 @@ def list_logs(spark: SparkSession, root: str) -> DataFrame:
         .select(
             F.col("_metadata.file_path").alias("run_id"),
             F.col("length").alias("size_bytes"),
+            F.unix_micros("modificationTime").alias("modified_us"),
         )
     )
 
@@ -86,6 +87,17 @@ def read_headers(logs: DataFrame) -> DataFrame:
     return logs.select("run_id", "size_bytes").mapInArrow(_header_reader(_SCHEMES), _HEADERS)
 
 
+def known_headers(logs: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    """Headers of the logs: the ``given`` ones, or those that their files begin with."""
+    if given is None:
+        return read_headers(logs)
+    own = logs.join(given.drop("size_bytes"), "run_id", "left")
+    if "error" not in given.columns:
+        own = own.withColumn("error", F.lit(None).cast("string"))
+    missing = F.col("header").isNull() & F.col("error").isNull()
+    return own.withColumn("error", F.when(missing, "no header given").otherwise(F.col("error")))
+
+
 def scan_headers(spark: SparkSession, logs: DataFrame, root: str) -> DataFrame:
     """The same through Spark's own file systems; reads the files once to their end.
 

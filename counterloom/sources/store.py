@@ -1,12 +1,23 @@
 """Ingested logs as parquet tables.
 
 ``samples``, ``bins`` (their five-minute statistics, which is what reports read),
-``counters`` and ``runs`` (the manifest) hold one folder per batch, named by a
-random id that no other writer can have. The ``commits`` record of a batch is
+``counters`` and ``runs`` hold one folder per batch, named by a random id that no
+other writer can have. A batch claims its files in ``claims``, by path, size and
+modification time, in folders by the hash of the path. Its ``commits`` record is
 written last: a batch that failed half-way has none and stays invisible, and what
-is visible is never written again. Every writer, batch or stream, takes only files
-that the manifest does not hold. ``failures`` lists files that could not be read;
-they are tried again at the next call.
+is visible is never written again.
+
+Writers do not wait for each other. Each takes the files that no visible batch
+claims in their present version; where two took the same file at once, both commit
+and readers go by the claims: of one file the newest version counts, of one version
+the earliest claim, then the smallest batch id. A log that has grown or was exported
+again is a new version and replaces the old one for readers.
+
+``compact_store`` rewrites small batches as one. Its commit names the batches that it
+replaces, so readers see either those or the new one.
+
+``failures`` lists files that could not be read; they are tried again at the next
+call.
 """
 
 import uuid
@@ -15,7 +26,7 @@ from itertools import islice
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterloom.operators.runs import new_runs, run_status
@@ -24,6 +35,7 @@ from counterloom.operators.series import find_cut
 from counterloom.operators.stats import baseline_bins, bin_samples, binned_bounds
 from counterloom.schema import (
     BINS,
+    CLAIMS,
     COMMITS,
     COUNTERS,
     FAILURES,
@@ -32,19 +44,26 @@ from counterloom.schema import (
     TICK,
     UNREADABLE,
 )
-from counterloom.shared import delete_folder, new_folder, settle, settled_scope
+from counterloom.shared import delete_folder, settle, settled_scope
 from counterloom.sources.counter_logs import (
     ROUND_FILES,
     counter_dictionary,
+    known_headers,
     layouts,
     list_logs,
-    read_headers,
     read_samples,
 )
 
 _TABLES = {"samples": SAMPLES, "bins": BINS, "counters": COUNTERS, "runs": RUNS}
 
-File = tuple[str, int]
+# Folders of claims by the hash of the path.
+BUCKETS = 64
+# Batches of fewer files are compacted.
+SMALL_BATCH = 1000
+
+File = tuple[str, int, int]
+_FILES = "run_id string, size_bytes long, modified_us long"
+VERSION = ["run_id", "size_bytes", "modified_us"]
 
 
 class Store(NamedTuple):
@@ -72,26 +91,65 @@ def _read(spark: SparkSession, path: str, columns: str) -> DataFrame:
         return spark.createDataFrame([], columns)
 
 
+def _all_commits(spark: SparkSession, store: str) -> DataFrame:
+    return _read(spark, f"{store}/commits", f"{COMMITS}, batch string")
+
+
 def commits(spark: SparkSession, store: str) -> DataFrame:
-    """One row per committed batch."""
-    return _read(spark, f"{store}/commits", COMMITS)
+    """One row per committed batch that no other batch replaces."""
+    known = _all_commits(spark, store)
+    gone = known.select(F.explode("replaces").alias("batch"))
+    return known.join(gone, "batch", "left_anti")
+
+
+def bucket_of(run_id: Column) -> Column:
+    return F.pmod(F.xxhash64(run_id), F.lit(BUCKETS)).cast("int")
+
+
+def claims(spark: SparkSession, store: str, files: DataFrame | None = None) -> DataFrame:
+    """Claims of all visible batches.
+
+    With ``files`` only the buckets of those are read; at most ``BUCKETS`` numbers
+    come to the driver for that.
+    """
+    found = _read(spark, f"{store}/claims", f"{CLAIMS}, batch string, bucket int")
+    if files is not None:
+        touched = files.select(bucket_of(F.col("run_id")).alias("bucket")).distinct()
+        found = found.filter(F.col("bucket").isin([row.bucket for row in touched.collect()]))
+    return found.join(commits(spark, store).select("batch"), "batch", "left_semi")
+
+
+def outdated(claimed: DataFrame) -> DataFrame:
+    """``run_id, batch`` of claims that lose: older versions and later takers."""
+    order = F.struct(-F.col("modified_us"), -F.col("size_bytes"), F.col("taken_us"), F.col("batch"))
+    winners = claimed.groupBy("run_id").agg(F.min_by("batch", order).alias("batch"))
+    return claimed.join(winners, ["run_id", "batch"], "left_anti").select("run_id", "batch").distinct()
+
+
+def _visible(spark: SparkSession, store: str, known: DataFrame) -> dict[str, DataFrame]:
+    """The tables of the batches in ``known``, without rows of claims that lost."""
+    # Few rows as a rule, and a settled table has a known size.
+    lost = settle(outdated(claims(spark, store)), "outdated")
+    none_lost = lost.isEmpty()
+    tables = {}
+    for name, columns in _TABLES.items():
+        table = _read(spark, f"{store}/{name}", f"{columns}, batch string")
+        table = table.join(known.select("batch"), "batch", "left_semi")
+        if not none_lost:
+            table = table.join(lost, ["run_id", "batch"], "left_anti")
+        tables[name] = table
+    return tables
 
 
 def open_store(spark: SparkSession, store: str) -> Store:
-    """The tables of all committed batches."""
-    known = commits(spark, store).select("batch")
-    tables = [
-        _read(spark, f"{store}/{name}", f"{columns}, batch string")
-        .join(known, "batch", "left_semi")
-        .drop("batch")
-        for name, columns in _TABLES.items()
-    ]
-    return Store(*tables)
+    """The tables of all committed batches: one version of every run, once."""
+    tables = _visible(spark, store, commits(spark, store))
+    return Store(*[table.drop("batch") for table in tables.values()])
 
 
 def failures(spark: SparkSession, store: str) -> DataFrame:
     """Files that could not be read, once per attempt, with the error."""
-    return _read(spark, f"{store}/failures", FAILURES)
+    return _read(spark, f"{store}/failures", f"{FAILURES}, attempt string").drop("attempt")
 
 
 def run_table(
@@ -128,6 +186,21 @@ def _bad_rows(bins: DataFrame) -> DataFrame:
     return lost.groupBy("run_id").agg(F.sum("rows").alias("bad_rows"))
 
 
+def _commit(spark: SparkSession, store: str, batch: str, record: DataFrame) -> None:
+    """``files, replaces`` of a batch in a folder of its own; one file appears at once."""
+    record = record.select(
+        F.col("files").cast("long").alias("files"),
+        F.col("replaces").cast("array<string>").alias("replaces"),
+        F.current_timestamp().alias("committed_at"),
+    )
+    record.coalesce(1).write.parquet(f"{store}/commits/batch={batch}")
+
+
+def _write_claims(store: str, batch: str, claimed: DataFrame) -> None:
+    placed = claimed.select(*VERSION, "taken_us", bucket_of(F.col("run_id")).alias("bucket"))
+    placed.coalesce(1).write.partitionBy("bucket").parquet(f"{store}/claims/batch={batch}")
+
+
 def _ingest_batch(
     spark: SparkSession,
     store: str,
@@ -138,7 +211,7 @@ def _ingest_batch(
     time_column: str | None,
     keep_samples: bool,
 ) -> None:
-    """All tables of one batch, then its commit record."""
+    """All tables of one batch, its claims, then its commit record."""
     batch = uuid.uuid4().hex
     written = []
 
@@ -150,7 +223,7 @@ def _ingest_batch(
 
     try:
         layout = settle(layouts(headers, [*patterns, baseline], time_column), "layouts")
-        samples = read_samples(spark, [run_id for run_id, _ in files], layout)
+        samples = read_samples(spark, [file[0] for file in files], layout)
         if keep_samples:
             # Straight from the scan: its tasks hold the lines of few files, in order.
             samples = write("samples", samples)
@@ -158,12 +231,15 @@ def _ingest_batch(
         write("counters", counter_dictionary(layout))
         runs = run_table(bins, _bad_rows(bins), layout, baseline)
         write("runs", runs.withColumn("ingested_at", F.current_timestamp()))
+        taken = spark.createDataFrame(files, _FILES)
+        written.append(f"{store}/claims/batch={batch}")
+        _write_claims(store, batch, taken.withColumn("taken_us", F.unix_micros(F.current_timestamp())))
     except BaseException:
         for path in written:
             delete_folder(spark, path)
         raise
-    record = spark.createDataFrame([(batch, len(files))], "batch string, files long")
-    record.coalesce(1).write.mode("append").parquet(f"{store}/commits")
+    record = spark.createDataFrame([(len(files), [])], "files long, replaces array<string>")
+    _commit(spark, store, batch, record)
 
 
 def _is_read_error(error: PySparkException) -> bool:
@@ -181,7 +257,7 @@ def ingest_files(
     time_column: str | None = None,
     keep_samples: bool = True,
 ) -> int:
-    """Ingest one round of files (run and size); returns how many could not be read.
+    """Ingest one round of files (path, size, modification time); returns how many failed.
 
     Files whose header cannot be read are set aside first. If the scan fails on a
     file all the same, the round is halved until the file stands alone; the others
@@ -189,16 +265,8 @@ def ingest_files(
     """
     if not files:
         return 0
-    logs = spark.createDataFrame(files, "run_id string, size_bytes long")
-    if headers is None:
-        own = read_headers(logs)
-    else:
-        own = logs.join(headers.drop("size_bytes"), "run_id", "left")
-        if "error" not in headers.columns:
-            own = own.withColumn("error", F.lit(None).cast("string"))
-        missing = F.col("header").isNull() & F.col("error").isNull()
-        own = own.withColumn("error", F.when(missing, "no header given").otherwise(F.col("error")))
-    own = settle(own, "headers")
+    logs = spark.createDataFrame(files, _FILES).drop("modified_us")
+    own = settle(known_headers(logs, headers), "headers")
     # At most a round of files.
     broken = {row.run_id: row.error for row in own.filter("error is not null").collect()}
     good = [file for file in files if file[0] not in broken]
@@ -211,7 +279,7 @@ def ingest_files(
         rows = [(run_id, UNREADABLE, error) for run_id, error in broken.items()]
         table = spark.createDataFrame(rows, "run_id string, status string, error string")
         table = table.withColumn("failed_at", F.current_timestamp()).coalesce(1)
-        table.write.mode("append").parquet(f"{store}/failures")
+        table.write.parquet(f"{store}/failures/attempt={uuid.uuid4().hex}")
     return len(broken)
 
 
@@ -226,7 +294,7 @@ def _ingest_scanned(spark, store, files, headers, patterns, baseline, time_colum
             return
         middle = len(files) // 2
         for half in (files[:middle], files[middle:]):
-            names = spark.createDataFrame([(run_id,) for run_id, _ in half], "run_id string")
+            names = spark.createDataFrame([(file[0],) for file in half], "run_id string")
             own = headers.join(names, "run_id", "left_semi")
             _ingest_scanned(
                 spark, store, half, own, patterns, baseline, time_column, keep, broken
@@ -235,7 +303,7 @@ def _ingest_scanned(spark, store, files, headers, patterns, baseline, time_colum
 
 def _rounds(pending: DataFrame, size: int) -> Iterator[list[File]]:
     """Files in rounds of fixed size; names come from one pass, one partition at a time."""
-    rows = (tuple(row) for row in pending.select("run_id", "size_bytes").toLocalIterator())
+    rows = (tuple(row) for row in pending.select(*VERSION).toLocalIterator())
     while batch := list(islice(rows, size)):
         yield batch
 
@@ -253,12 +321,14 @@ def ingest_new(
 ) -> Summary:
     """Ingest the files under ``root`` that are not in the store yet, round by round.
 
+    A file that has changed since it was ingested is new.
     ``headers`` (``run_id, header``) replaces the reading of first lines, for
     stores that only Spark reaches.
     """
     with settled_scope(spark):
         listed = settle(list_logs(spark, root), "listed")
-        pending = settle(new_runs(listed, open_store(spark, store).runs), "pending")
+        known = claims(spark, store, listed)
+        pending = settle(new_runs(listed, known, VERSION), "pending")
         found, new = listed.count(), pending.count()
         failed = 0
         for files in _rounds(pending, round_files):
@@ -268,18 +338,49 @@ def ingest_new(
     return Summary(found, new, found - new, failed)
 
 
-def extract_rounds(
-    spark: SparkSession,
-    root: str,
-    patterns: list[str],
-    headers: DataFrame | None = None,
-    time_column: str | None = None,
-    round_files: int = ROUND_FILES,
-) -> tuple[DataFrame, DataFrame]:
-    """Readings and counters of all logs under ``root``, through rounds as in ingest."""
-    store = new_folder(spark, "extract")
-    ingest_new(
-        spark, root, store, patterns, patterns[0], headers, time_column, round_files
-    )
-    tables = open_store(spark, store)
-    return tables.samples.filter(F.col("pos") != TICK), tables.counters
+def compact_store(spark: SparkSession, store: str, files_below: int = SMALL_BATCH) -> int:
+    """Rewrite all batches of fewer files as one batch; returns how many there were.
+
+    Rows of outdated claims are left behind. The old batches stay on disk for readers
+    that have opened them; ``remove_replaced`` deletes them.
+    """
+    with settled_scope(spark):
+        small = settle(commits(spark, store).filter(F.col("files") < files_below), "small")
+        count = small.count()
+        if count < 2:
+            return 0
+        batch = uuid.uuid4().hex
+        written = []
+        try:
+            for name, table in _visible(spark, store, small).items():
+                written.append(f"{store}/{name}/batch={batch}")
+                # Even files, whatever the sizes of runs.
+                table.drop("batch").hint("rebalance").write.parquet(written[-1])
+            claimed = claims(spark, store)
+            kept = claimed.join(small.select("batch"), "batch", "left_semi").join(
+                outdated(claimed), ["run_id", "batch"], "left_anti"
+            )
+            kept = settle(kept, "kept")
+            written.append(f"{store}/claims/batch={batch}")
+            _write_claims(store, batch, kept)
+        except BaseException:
+            for path in written:
+                delete_folder(spark, path)
+            raise
+        files = kept.count()
+        record = small.agg(F.collect_list("batch").alias("replaces"))
+        _commit(spark, store, batch, record.withColumn("files", F.lit(files)))
+    return count
+
+
+def remove_replaced(spark: SparkSession, store: str) -> int:
+    """Delete the files of batches that a compaction replaced; returns how many."""
+    known = _all_commits(spark, store)
+    gone = known.select(F.explode("replaces").alias("batch")).distinct()
+    held = known.select("batch").join(gone, "batch", "left_semi")
+    removed = 0
+    for row in held.toLocalIterator():
+        for name in (*_TABLES, "claims"):
+            delete_folder(spark, f"{store}/{name}/batch={row.batch}")
+        removed += 1
+    return removed

@@ -8,7 +8,7 @@ from counterloom.operators.runs import new_runs
 from counterloom.schema import DEFAULT_BASELINE, DEFAULT_PATTERNS
 from counterloom.shared import settled_scope
 from counterloom.sources.counter_logs import ROUND_FILES
-from counterloom.sources.store import ingest_files, open_store
+from counterloom.sources.store import VERSION, claims, ingest_files
 
 # The columns of Spark's binary file source.
 _FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -34,9 +34,9 @@ def stream_logs(
     """
 
     def ingest(files: DataFrame, batch: int) -> None:
-        fresh = new_runs(files, open_store(files.sparkSession, store).runs)
+        fresh = new_runs(files, claims(files.sparkSession, store, files), VERSION)
         # At most round_files rows.
-        found = [tuple(row) for row in fresh.collect()]
+        found = [tuple(row) for row in fresh.select(*VERSION).collect()]
         with settled_scope(spark):
             ingest_files(spark, store, found, headers, patterns, baseline, time_column)
 
@@ -47,7 +47,11 @@ def stream_logs(
         .option("pathGlobFilter", "*.csv")
         .option("maxFilesPerTrigger", round_files)
         .load(root)
-        .select(F.col("_metadata.file_path").alias("run_id"), F.col("length").alias("size_bytes"))
+        .select(
+            F.col("_metadata.file_path").alias("run_id"),
+            F.col("length").alias("size_bytes"),
+            F.unix_micros("modificationTime").alias("modified_us"),
+        )
         .writeStream.foreachBatch(ingest)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
