@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterloom.functions.numbers import round_half_even
+from counterloom.functions.numbers import exact_mean, round_half_even
 from counterloom.functions.paths import path_metric
 from counterloom.functions.times import column_label
 from counterloom.operators.reshape import numbered
@@ -42,7 +42,7 @@ def pattern_statistics(
         select_by_substring(samples, pattern)
         .groupBy(*keys)
         .agg(
-            F.avg("value").alias("avg"),
+            exact_mean(F.col("value")).alias("avg"),
             F.max("value").alias("max"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),

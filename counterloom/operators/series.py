@@ -8,6 +8,7 @@ because samples are averaged into bins by a partial aggregate first.
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from counterloom.functions.numbers import exact_mean
 from counterloom.schema import NO_CHANGE, NO_PREVIOUS_BIN, OK
 
 BIN_MINUTES = 5
@@ -34,7 +35,7 @@ def resample_mean(samples: DataFrame, by: list[str], minutes: int = BIN_MINUTES)
     """Mean per key and bin, nulls skipped."""
     timed = samples.filter(F.col("ts").isNotNull())
     return timed.groupBy(*by, bin_start(F.col("ts"), minutes).alias("bin")).agg(
-        F.avg("value").alias("v")
+        exact_mean(F.col("value")).alias("v")
     )
 
 

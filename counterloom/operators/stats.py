@@ -4,10 +4,17 @@ All groupings are plain hash aggregates with a map-side part, so the rows of a
 large run or counter never meet in one task.
 """
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from counterloom.functions.numbers import bytes_to_mbps, is_byte_rate, mbps_name
+from counterloom.functions.numbers import (
+    bytes_to_mbps,
+    exact_mean,
+    exact_units,
+    is_byte_rate,
+    mbps_name,
+    merged_sum,
+)
 from counterloom.operators.select import match_patterns
 from counterloom.operators.series import BIN_MINUTES, bin_start
 
@@ -26,7 +33,7 @@ def counter_stats(samples: DataFrame, by: list[str]) -> DataFrame:
     return (
         samples.filter(F.col("value").isNotNull())
         .groupBy(*by)
-        .agg(F.avg("value").alias("avg"), F.max("value").alias("max"))
+        .agg(exact_mean(F.col("value")).alias("avg"), F.max("value").alias("max"))
     )
 
 
@@ -66,6 +73,7 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
         .agg(
             F.count("*").alias("rows"),
             F.sum("value").alias("total"),
+            exact_units(F.col("value")).alias("units"),
             F.count("value").alias("n"),
             F.max("value").alias("top"),
             F.min("ts").alias("first_ts"),
@@ -74,12 +82,17 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
     )
 
 
+def _binned_mean() -> Column:
+    total = merged_sum(F.col("units"), F.col("total"))
+    return total / F.nullif(F.sum("n"), F.lit(0))
+
+
 def baseline_bins(bins: DataFrame, baselines: DataFrame) -> DataFrame:
     """Bin means of each run's baseline counter (``run_id, bin, v``)."""
     return (
         bins.join(baselines.select("run_id", "pos"), ["run_id", "pos"])
         .groupBy("run_id", "bin")
-        .agg((F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("v"))
+        .agg(_binned_mean().alias("v"))
     )
 
 
@@ -106,7 +119,7 @@ def kept_stats(bins: DataFrame, cuts: DataFrame, keep: str = HEAD) -> DataFrame:
         .filter(inside)
         .groupBy("run_id", "pos", "fall_ts", "start_ts", "end_ts")
         .agg(
-            (F.sum("total") / F.nullif(F.sum("n"), F.lit(0))).alias("avg"),
+            _binned_mean().alias("avg"),
             F.max("top").alias("max"),
         )
         .filter(F.col("avg").isNotNull())
@@ -122,14 +135,19 @@ def pooled_stats(samples: DataFrame, patterns: list[str]) -> DataFrame:
     per_counter = (
         samples.filter(F.col("value").isNotNull())
         .groupBy("run_id", "counter_path")
-        .agg(F.sum("value").alias("total"), F.count("value").alias("n"), F.max("value").alias("top"))
+        .agg(
+            F.sum("value").alias("total"),
+            exact_units(F.col("value")).alias("units"),
+            F.count("value").alias("n"),
+            F.max("value").alias("top"),
+        )
     )
     pool = Window.partitionBy("run_id", "pattern")
     return match_patterns(per_counter, patterns).select(
         "run_id",
         "pattern",
         "counter_path",
-        (F.sum("total").over(pool) / F.sum("n").over(pool)).alias("avg"),
+        (merged_sum(F.col("units"), F.col("total"), pool) / F.sum("n").over(pool)).alias("avg"),
         F.max("top").over(pool).alias("max"),
     )
 

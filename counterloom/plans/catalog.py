@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from counterloom.functions.lines import is_time_header
-from counterloom.functions.numbers import round_half_even, to_number
+from counterloom.functions.numbers import exact_mean, round_half_even, to_number
 from counterloom.functions.paths import file_name, path_metric, path_server
 from counterloom.functions.times import clock_label, column_label, day_label, duration_label, parse_time
 from counterloom.operators import report as reports
@@ -331,6 +331,26 @@ def counter_stats(spark, folder):
     return stats.counter_stats(_samples(spark, folder), KEY)
 
 
+def _uneven_samples(spark, folder) -> DataFrame:
+    """Readings that are no round numbers: their sums depend on the order of additions."""
+    value = F.col("value") / 7 - F.sqrt("value")
+    return event_samples(read_table(spark, folder, "events"), value=value)
+
+
+def exact_means(spark, folder):
+    """Means of uneven values by counter and by run, straight and merged from bins."""
+    samples = _uneven_samples(spark, folder)
+    by_counter = stats.counter_stats(samples, KEY).select("run_id", "pos", "avg", "max")
+    by_run = stats.counter_stats(samples, ["run_id"]).select(
+        "run_id", F.lit(None).cast("int").alias("pos"), "avg", "max"
+    )
+    bins = stats.bin_samples(samples)
+    merged = stats.baseline_bins(bins, _counters(spark, folder)).groupBy("run_id").agg(
+        F.lit(-1).alias("pos"), exact_mean(F.col("v")).alias("avg"), F.max("v").alias("max")
+    )
+    return by_counter.unionByName(by_run).unionByName(merged)
+
+
 def counter_stats_nonnull(spark, folder):
     discounts = _line_readings(spark, folder).withColumnRenamed("discount", "value")
     return stats.counter_stats(discounts, ["run_id", "ts"])
@@ -817,6 +837,7 @@ QUERIES = {
     "filter_to_cut": filter_to_cut,
     "filter_after_cut": filter_after_cut,
     "counter_stats": counter_stats,
+    "exact_means": exact_means,
     "counter_stats_nonnull": counter_stats_nonnull,
     "pooled_stats": pooled_stats,
     "mbps_rows": mbps_rows,

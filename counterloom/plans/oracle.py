@@ -65,6 +65,12 @@ def _label(server: str, stat: str, start: str, end: str, day: str) -> str:
     )
 
 
+def _exact_mean(value: str) -> str:
+    """Mean from a sum over whole units of 2^-62; the text of a sum becomes the nearest double."""
+    units = f"CAST(sum(CAST(trunc({value} * 4611686018427387904) AS HUGEINT)) AS VARCHAR)"
+    return f"CAST({units} AS DOUBLE) / 4611686018427387904 / count({value})"
+
+
 def _statistics(keep: str) -> str:
     """Labelled statistics of the samples before or after each cut."""
     inside, start, end = ("<=", "start_ts", "fall_ts") if keep == "head" else (">=", "fall_ts", "end_ts")
@@ -279,6 +285,16 @@ WHERE status = 'ok' AND ts <= fall_ts""",
 WHERE status = 'ok' AND ts >= fall_ts""",
     "counter_stats": _with(_SAMPLES)
     + "SELECT run_id, pos, counter_path, avg(value) AS avg, max(value) AS max FROM samples GROUP BY ALL",
+    "exact_means": _with(
+        _SAMPLES.replace("round(value * 100) AS value", "value / 7 - sqrt(value) AS value")
+    )
+    + f"""SELECT run_id, pos, {_exact_mean("value")} AS avg, max(value) AS max FROM samples GROUP BY run_id, pos
+UNION ALL
+SELECT run_id, NULL, {_exact_mean("value")}, max(value) FROM samples GROUP BY run_id
+UNION ALL
+SELECT run_id, -1, {_exact_mean("v")}, max(v) FROM (
+  SELECT run_id, {_exact_mean("value")} AS v FROM samples
+  GROUP BY run_id, time_bucket(INTERVAL '5 minutes', ts)) GROUP BY run_id""",
     "counter_stats_nonnull": _with(_LINES)
     + """SELECT run_id, ts, avg(discount) AS avg, max(discount) AS max
 FROM readings WHERE discount IS NOT NULL GROUP BY run_id, ts""",

@@ -4,7 +4,8 @@
 # in its log; names live in the counter dictionary, keyed by run and position.
 SAMPLES = "run_id string, ts timestamp_ntz, pos int, value double"
 BINS = (
-    "run_id string, pos int, bin timestamp_ntz, on_start boolean, rows long, total double, n long,"
+    "run_id string, pos int, bin timestamp_ntz, on_start boolean, rows long, total double,"
+    " units decimal(38,0), n long,"
     " top double, first_ts timestamp_ntz, last_ts timestamp_ntz"
 )
 COUNTERS = "run_id string, pos int, counter_path string, server string, metric string"
