@@ -530,9 +530,14 @@ def _month_first(ts):
     return F.concat(day, F.lit(" "), F.substring(text, 12, 12))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores: a few row groups become text many times their size."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _wide_lines(spark, folder) -> DataFrame:
     """Order lines as data lines of a log per ship year, all cells quoted."""
-    wide = line_samples(read_table(spark, folder, "lineitem"))
+    wide = line_samples(_spread(read_table(spark, folder, "lineitem")))
     cells = [_month_first(F.col("ts"))] + [
         F.coalesce(F.nullif(F.col(name), F.lit(0.0)).cast("string"), F.lit(" ")) for name in LINE_COUNTERS
     ]
@@ -567,7 +572,7 @@ def scan_counter_lines(spark, folder):
 
 def _write_logs(lineitem: DataFrame, path: str) -> None:
     """Order lines as CSV files with their own headers, one per task."""
-    wide = lineitem.select(
+    wide = _spread(lineitem).select(
         _month_first(F.col("l_shipdate")).alias("(PDH-CSV 4.0) (GMT Standard Time)(0)"),
         *[
             F.coalesce(F.nullif(hundredths(F.col(c)), F.lit(0.0)).cast("string"), F.lit(" ")).alias(

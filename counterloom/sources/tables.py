@@ -46,7 +46,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def hundredths(value: Column) -> Column:
-    return F.round(value * 100)
+    # Prices have two decimals, so no product lies between two whole numbers; ``round``
+    # would go through decimals of any size.
+    return F.rint(value * 100)
 
 
 def day_of(ts: Column) -> Column:
