@@ -47,6 +47,14 @@ PIECE = 4096
 _ROOT = "0" * 32
 
 
+def hashed_turns(turns: DataFrame) -> DataFrame:
+    """``conv, pos, digest, bytes``: the size of the text and a digest of role and text."""
+    size = F.length("role").cast("string")
+    digest = F.md5(F.concat(size, F.lit(":"), "role", F.lit(":"), "text").cast("binary"))
+    size = F.octet_length("text").cast("long")
+    return turns.select("conv", "pos", digest.alias("digest"), size.alias("bytes"))
+
+
 def ordered_turns(conversations: DataFrame) -> DataFrame:
     """``conv, pos, role, text``: the turns of every conversation, numbered from 1.
 
@@ -60,7 +68,7 @@ def ordered_turns(conversations: DataFrame) -> DataFrame:
         F.coalesce("text", F.lit("")).alias("text"),
         F.lit(1).cast("long").alias("_one"),
     )
-    placed = settle(running_sums(turns, ["conv", "turn", "role", "text"], ["_one"]), "turns")
+    placed = running_sums(turns, ["conv", "turn", "role", "text"], ["_one"])
     firsts = placed.groupBy("conv").agg(F.min("_before__one").alias("first"))
     return placed.join(firsts, "conv").select(
         "conv", (F.col("_before__one") - F.col("first") + 1).alias("pos"), "role", "text"
@@ -87,7 +95,7 @@ def shared_heads(turns: DataFrame) -> DataFrame:
     shift = F.least("h", F.coalesce("n", F.lit(0))) - F.col("h")
     shifts = own.join(lengths, "base", "left").select("conv", "h", shift.alias("shift"))
     rest = turns.join(shifts, "conv").filter(F.col("pos") > F.col("h"))
-    columns = ["conv", "pos", "role", "text"]
+    columns = turns.columns
     moved = rest.withColumn("pos", F.col("pos") + F.col("shift"))
     return borrowed.select(columns).unionByName(moved.select(columns))
 
@@ -243,13 +251,13 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
     ``turns``: ``conv, pos, role, text`` with gapless ``pos`` from 1; ``members``:
     ``conv`` of all conversations, those without a turn included.
     """
+    return hashed_trie(hashed_turns(turns), members)
+
+
+def hashed_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
+    """``prefix_trie`` of turns that are hashed already."""
     ship(turns.sparkSession)
-    size = F.length("role").cast("string")
-    digest = F.md5(F.concat(size, F.lit(":"), "role", F.lit(":"), "text").cast("binary"))
-    hashed = settle(
-        turns.select("conv", "pos", digest.alias("digest"), F.octet_length("text").cast("long").alias("bytes")),
-        "hashed",
-    )
+    hashed = settle(turns, "hashed")
     members = settle(members, "members")
     least = members.agg(F.min("conv")).first()[0]
     roots = members.select("conv", F.lit(0).cast("long").alias("depth"), F.lit(least).cast("long").alias("node"))
@@ -302,5 +310,5 @@ def prefix_trie(turns: DataFrame, members: DataFrame) -> DataFrame:
 
 def conversation_trie(conversations: DataFrame) -> DataFrame:
     """The trie of the conversations behind their shared heads."""
-    turns = settle(ordered_turns(conversations), "ordered")
-    return prefix_trie(shared_heads(turns), turns.select("conv").distinct())
+    turns = settle(hashed_turns(ordered_turns(conversations)), "ordered")
+    return hashed_trie(shared_heads(turns), turns.select("conv").distinct())
