@@ -435,8 +435,11 @@ def frequent_phrases(
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    counted = texts.mapInArrow(_counted(max(1, ceil(size / RANGE_BYTES))), _COUNTED)
-    dealt = counted.repartition("part").sortWithinPartitions("part", "lang")
+    ranges = max(1, ceil(size / RANGE_BYTES))
+    counted = texts.mapInArrow(_counted(ranges), _COUNTED)
+    # A task unites few ranges, however large the input.
+    tasks = max(ranges, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = counted.repartition(tasks, "part").sortWithinPartitions("part", "lang")
     return settle(dealt.mapInArrow(_united(least), _FREQUENT), "phrases")
 
 
