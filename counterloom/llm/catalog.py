@@ -12,10 +12,13 @@ from counterloom.llm.hilbert import document_shards
 from counterloom.llm.line_crf import line_quality
 from counterloom.llm.minhash import jaccard_duplicates
 from counterloom.llm.oracle import (
+    COLLOCATIONS_SQL,
+    JACCARD_SQL,
     PASSAGES_SQL,
     QUALITY_SQL,
     REVISITS_SQL,
     TOP_PRODUCTS_SQL,
+    TRIE_SQL,
 )
 from counterloom.llm.packing import pack_documents
 from counterloom.llm.prefix_trie import conversation_trie
@@ -109,4 +112,7 @@ ORACLE: dict[str, str] = {
     "op5_suffix_dedup": PASSAGES_SQL,
     "op9_warc_revisits": REVISITS_SQL,
     "op10_quality_rules": QUALITY_SQL,
+    "op11_collocations": COLLOCATIONS_SQL,
+    "op12_minhash": JACCARD_SQL,
+    "op13_prefix_trie": TRIE_SQL,
 }
