@@ -4,23 +4,23 @@ from counterloom.llm.quality_rules import LANGUAGES, OTHER, RULES
 
 TOP_PRODUCTS_SQL = """
 WITH rows AS (
-    SELECT vec_id, min(list_transform(
-        embedding, lambda x: greatest(least(floor(64 * x::DOUBLE), 16777216), -16777216)::BIGINT
-    )) AS v
+    SELECT row_number() OVER () AS place, vec_id,
+        list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::HUGEINT) AS v
     FROM embeddings
     WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    GROUP BY vec_id
 ),
-parts AS (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rows),
+parts AS (
+    SELECT place, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM rows
+),
 scores AS (
-    SELECT q.vec_id AS query_id, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+    SELECT q.place, q.vec_id AS query_id, c.place AS other, c.vec_id, sum(q.x * c.x)::BIGINT AS score
     FROM parts q JOIN parts c ON q.i = c.i
-    WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id
+    WHERE q.vec_id % 20 = 0 AND c.place <> q.place
     GROUP BY ALL
 ),
 ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    SELECT *, row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS rank
     FROM scores
 )
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
