@@ -353,7 +353,7 @@ def _true_links(members: DataFrame, percent: int, shingle: int) -> DataFrame:
 def _components(
     docs: DataFrame, doc_id: str, text: str, shingle: int, percent: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Settled sketches of all rows, and ``set_key, component_id`` of all sets."""
+    """Settled sketches of all rows, and ``set_key, root, component_id`` of all sets."""
     ship(docs.sparkSession)
     marked = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -393,7 +393,7 @@ def _components(
         "grouped",
     )
     smallest = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked, grouped.join(smallest, "root").select("set_key", "component_id")
+    return marked, grouped.join(smallest, "root").select("set_key", "root", "component_id")
 
 
 def jaccard_duplicates(
@@ -417,3 +417,35 @@ def jaccard_duplicates(
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def drop_jaccard_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    percent: int = PERCENT,
+) -> DataFrame:
+    """One document of every component, the one with the smallest id, as it was.
+
+    Of several texts with that id one stays, with all its rows if it is repeated;
+    rows without an id all stay, unless their component has a document with one.
+    """
+    marked, named = _components(docs, doc_id, text, shingle, percent)
+    known = marked.join(named, "set_key").filter(F.col("component_id").isNotNull())
+    first = (
+        known.filter(F.col("doc_id") == F.col("component_id"))
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    )
+    lost = (
+        known.join(first, "root")
+        .filter(~F.struct("doc_id", "text_key").eqNullSafe(F.col("first")))
+        .select(F.col("doc_id").alias("_lost"), F.col("text_key").alias("_lost_key"))
+        .distinct()
+    )
+    lost = settle(lost, "lost")
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("_row")
+    rows = docs.select(row, F.col(doc_id).alias("_id"), F.xxhash64(text).alias("_key"))
+    gone = F.col("_id").eqNullSafe(F.col("_lost")) & (F.col("_key") == F.col("_lost_key"))
+    return rows.join(lost, gone, "left_anti").select("_row.*")
