@@ -29,7 +29,14 @@ from counterloom.shared import new_folder, settle
 from counterloom.sources.counter_logs import counter_dictionary, layouts, list_logs, parse_lines
 from counterloom.sources.extraction import extract_rounds
 from counterloom.sources.sinks import read_aligned_report, write_aligned_report, write_report
-from counterloom.sources.store import VERSION, compact_store, ingest_files, ingest_new, open_store
+from counterloom.sources.store import (
+    VERSION,
+    commits,
+    compact_store,
+    ingest_files,
+    ingest_new,
+    open_store,
+)
 from counterloom.sources.tables import (
     EVENT_COUNTERS,
     LINE_COUNTERS,
@@ -763,6 +770,16 @@ def ingest_summary(spark, folder):
     return spark.createDataFrame(rows, columns)
 
 
+def ingest_telemetry(spark, folder):
+    """What all batches of a store have read, as their scans counted it."""
+    found = commits(spark, _store_of_days(spark, folder))
+    return found.agg(
+        F.count("*").alias("batches"),
+        *[F.sum(c).alias(c) for c in ("files", "rows", "bad_rows", "readings")],
+        (F.min("bytes") > 0).alias("bytes_known"),
+    )
+
+
 def concurrent_ingest(spark, folder):
     """Two writers that have both seen the same new files take all of them at once."""
     path, store = new_folder(spark, "day-logs"), new_folder(spark, "store")
@@ -870,6 +887,7 @@ QUERIES = {
     "streaming_ingest": streaming_ingest,
     "mixed_ingest": mixed_ingest,
     "ingest_summary": ingest_summary,
+    "ingest_telemetry": ingest_telemetry,
     "concurrent_ingest": concurrent_ingest,
     "grown_logs": grown_logs,
     "compacted_store": compacted_store,

@@ -386,6 +386,11 @@ SELECT run_id, -1, count(*), 0, NULL, NULL, min(ts), NULL, NULL, NULL FROM wide
     "incremental_ingest": _FILES,
     "streaming_ingest": _FILES,
     "mixed_ingest": _with(*_HEAD) + "SELECT * FROM cells",
+    "ingest_telemetry": _with(_SAMPLES, _PATTERNS)
+    + """SELECT CAST(ceil(count(DISTINCT run_id) / 7) AS BIGINT) AS batches, count(DISTINCT run_id) AS files,
+  count(*) AS rows, 0 AS bad_rows, true AS bytes_known, count(*) FILTER (
+    EXISTS (SELECT 1 FROM patterns WHERE contains(counter_path, pattern))) AS readings
+FROM samples""",
     "concurrent_ingest": _with(*_HEAD) + "SELECT * FROM cells",
     "grown_logs": _with(*_HEAD) + "SELECT * FROM cells",
     "compacted_store": _with(*_HEAD)

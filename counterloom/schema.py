@@ -16,7 +16,10 @@ RUNS = (
 )
 
 CLAIMS = "run_id string, size_bytes long, modified_us long, taken_us long"
-COMMITS = "files long, replaces array<string>, committed_at timestamp"
+COMMITS = (
+    "files long, bytes long, rows long, bad_rows long, readings long,"
+    " replaces array<string>, committed_at timestamp"
+)
 FAILURES = "run_id string, status string, error string, failed_at timestamp"
 
 # Every data line of a log also yields one row with this position. Tick rows

@@ -26,7 +26,7 @@ from itertools import islice
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from counterloom.operators.runs import new_runs, run_status
@@ -61,6 +61,9 @@ BUCKETS = 64
 # Batches of fewer files are compacted.
 SMALL_BATCH = 1000
 
+# What a batch has read, counted by its scan: no table is read again for that.
+TELEMETRY = ["files", "bytes", "rows", "bad_rows", "readings"]
+
 File = tuple[str, int, int]
 _FILES = "run_id string, size_bytes long, modified_us long"
 VERSION = ["run_id", "size_bytes", "modified_us"]
@@ -96,7 +99,7 @@ def _all_commits(spark: SparkSession, store: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, store: str) -> DataFrame:
-    """One row per committed batch that no other batch replaces."""
+    """One row per committed batch that no other batch replaces, with its telemetry."""
     known = _all_commits(spark, store)
     gone = known.select(F.explode("replaces").alias("batch"))
     return known.join(gone, "batch", "left_anti")
@@ -186,10 +189,21 @@ def _bad_rows(bins: DataFrame) -> DataFrame:
     return lost.groupBy("run_id").agg(F.sum("rows").alias("bad_rows"))
 
 
+def _observed(samples: DataFrame, seen: Observation) -> DataFrame:
+    """The samples; whoever scans them leaves line and reading counts in ``seen``."""
+    line = F.col("pos") == TICK
+    return samples.observe(
+        seen,
+        F.count(F.when(line & F.col("ts").isNotNull(), 1)).alias("rows"),
+        F.count(F.when(line & F.col("ts").isNull(), 1)).alias("bad_rows"),
+        F.count("value").alias("readings"),
+    )
+
+
 def _commit(spark: SparkSession, store: str, batch: str, record: DataFrame) -> None:
-    """``files, replaces`` of a batch in a folder of its own; one file appears at once."""
+    """Telemetry and ``replaces`` of a batch in a folder of its own; one file appears at once."""
     record = record.select(
-        F.col("files").cast("long").alias("files"),
+        *[F.col(c).cast("long").alias(c) for c in TELEMETRY],
         F.col("replaces").cast("array<string>").alias("replaces"),
         F.current_timestamp().alias("committed_at"),
     )
@@ -223,7 +237,8 @@ def _ingest_batch(
 
     try:
         layout = settle(layouts(headers, [*patterns, baseline], time_column), "layouts")
-        samples = read_samples(spark, [file[0] for file in files], layout)
+        seen = Observation()
+        samples = _observed(read_samples(spark, [file[0] for file in files], layout), seen)
         if keep_samples:
             # Straight from the scan: its tasks hold the lines of few files, in order.
             samples = write("samples", samples)
@@ -238,7 +253,10 @@ def _ingest_batch(
         for path in written:
             delete_folder(spark, path)
         raise
-    record = spark.createDataFrame([(len(files), [])], "files long, replaces array<string>")
+    counts = {"files": len(files), "bytes": sum(file[1] for file in files), **seen.get}
+    record = spark.range(1).select(
+        F.array().alias("replaces"), *[F.lit(counts[c]).alias(c) for c in TELEMETRY]
+    )
     _commit(spark, store, batch, record)
 
 
@@ -368,7 +386,8 @@ def compact_store(spark: SparkSession, store: str, files_below: int = SMALL_BATC
                 delete_folder(spark, path)
             raise
         files = kept.count()
-        record = small.agg(F.collect_list("batch").alias("replaces"))
+        counts = [F.sum(c).alias(c) for c in TELEMETRY if c != "files"]
+        record = small.agg(F.collect_list("batch").alias("replaces"), *counts)
         _commit(spark, store, batch, record.withColumn("files", F.lit(files)))
     return count
 
