@@ -10,9 +10,11 @@ has the segments ``fr`` and ``#.html``). The tree of a host is built from the to
    similar mixes of segment classes below. They become one branch ``(a|b)``.
 
 A template's purity is the bad share of its labelled pages, smoothed by two
-pseudo-pages, one of each kind; templates purer than ``PURITY`` are rejected.
-Without labels of its own a template is accepted. In ``judge_urls`` the labelled
-pages are those that a rule fits.
+pseudo-pages, one of each kind; templates purer than ``PURITY`` are rejected. A
+template without labels of its own borrows from templates of any host that begin
+like it: of its beginnings, the longest that has labels counts, smoothed alike.
+Where not even its first segment is known, its purity is a half and it is accepted.
+In ``judge_urls`` the labelled pages are those that a rule fits.
 
 Pages are counted by host and shape before the tree is built, so a frequent host
 costs no more than its distinct shapes, and all steps are joins and aggregates by
@@ -176,6 +178,36 @@ def _named(tree: DataFrame, level: int) -> DataFrame:
     )
 
 
+def _beginnings(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with each beginning of the template, a segment or longer."""
+    parts = F.split("node", "/")
+    lengths = F.sequence(F.lit(1), F.size(parts) - 1)
+    spread = nodes.filter(F.col("node") != "").withColumn("segments", F.explode(lengths))
+    beginning = F.array_join(F.slice(parts, 1, F.col("segments") + 1), "/")
+    return spread.withColumn("beginning", beginning)
+
+
+def _purities(tree: DataFrame) -> DataFrame:
+    """``host, node, purity`` of every template."""
+    nodes = tree.groupBy("host", "node").agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+    nodes = settle(nodes, "templates")
+    share = (F.col("bad") + 1) / (F.col("labelled") + 2)
+    known = (
+        _beginnings(nodes.filter("labelled > 0"))
+        .groupBy("beginning")
+        .agg(F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
+        .select("beginning", share.alias("share"))
+    )
+    borrowed = (
+        _beginnings(nodes.filter("labelled = 0").select("host", "node"))
+        .join(known, "beginning")
+        .groupBy("host", "node")
+        .agg(F.max_by("share", "segments").alias("borrowed"))
+    )
+    purity = F.when(F.col("labelled") > 0, share).otherwise(F.coalesce("borrowed", F.lit(0.5)))
+    return nodes.join(borrowed, ["host", "node"], "left").select("host", "node", purity.alias("purity"))
+
+
 def path_templates(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
     """``host, full, template, purity``: the template of every shape of every host.
 
@@ -193,8 +225,7 @@ def path_templates(labelled: DataFrame, depth: int = DEPTH) -> DataFrame:
     deepest = tree.agg(F.coalesce(F.max(F.size("shape")), F.lit(0)).alias("n")).first().n
     for level in range(deepest):
         tree = settle(_named(tree, level), "tree")
-    purity = (F.sum("bad") + 1) / (F.sum("labelled") + 2)
-    purest = tree.groupBy("host", "node").agg(purity.alias("purity"))
+    purest = settle(_purities(tree), "purities")
     return tree.join(purest, ["host", "node"]).select(
         "host", "full", F.col("node").alias("template"), "purity"
     )
