@@ -63,12 +63,14 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
 
     A cut is always the start of a bin, so bins can be kept or dropped whole
     except for samples exactly on that start; ``on_start`` keeps those apart.
-    Paths stay with the bins of samples that carry them.
+    Paths stay with the bins of samples that carry them, bytes are added up.
     """
+    carried = [F.sum("bytes").alias("bytes")] if "bytes" in samples.columns else []
     keys = [c for c in ("run_id", "pos", "counter_path") if c in samples.columns]
+    taken = [c for c in ("ts", "value", "bytes") if c in samples.columns]
     start = bin_start(F.col("ts"), minutes)
     return (
-        samples.select(*keys, "ts", "value", start.alias("bin"))
+        samples.select(*keys, *taken, start.alias("bin"))
         .groupBy(*keys, "bin", (F.col("ts") == F.col("bin")).alias("on_start"))
         .agg(
             F.count("*").alias("rows"),
@@ -78,6 +80,7 @@ def bin_samples(samples: DataFrame, minutes: int = BIN_MINUTES) -> DataFrame:
             F.max("value").alias("top"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
+            *carried,
         )
     )
 

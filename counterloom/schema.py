@@ -26,6 +26,8 @@ FAILURES = "run_id string, status string, error string, failed_at timestamp"
 # carry the time stamp of lines whose counters are all blank, so run bounds and
 # row counts come from the same scan as the readings.
 TICK = -1
+# Lines without data (header, blank ones) where the bytes of a scan are accounted for.
+NO_DATA = -2
 
 OK = "ok"
 EMPTY = "empty"

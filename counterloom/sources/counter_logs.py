@@ -20,7 +20,7 @@ from counterloom.functions.numbers import is_finite, plain_double
 from counterloom.functions.paths import contains_any
 from counterloom.functions.times import parse_time
 from counterloom.operators.select import describe_counters
-from counterloom.schema import TICK
+from counterloom.schema import NO_DATA, TICK
 
 # Files per scan. Their layouts are broadcast, at most this many rows of four bytes
 # per header column.
@@ -166,7 +166,8 @@ def _readings(celled: DataFrame) -> DataFrame:
     A filter on a column made from cells would be moved below the step that makes
     them and repeat it; an inner explode implies such a filter. So every such
     column, the time stamp included, leaves through the explode, and rows are
-    dropped after it. Header lines and blank ones become null arrays.
+    dropped after it. Header lines and blank ones become null arrays; where lines
+    carry their ``bytes``, a row at ``NO_DATA`` keeps theirs.
     """
     time_cell = F.get("cells", F.col("time_pos"))
     texts = F.transform("positions", lambda pos: F.when(pos >= 0, F.get("cells", pos)))
@@ -177,11 +178,18 @@ def _readings(celled: DataFrame) -> DataFrame:
     )
     is_data = ~F.equal_null(time_cell, F.col("time_column")) & (F.trim("line") != "")
     known = F.col("ts").isNotNull() & is_finite(F.col("value"))
-    return (
-        celled.select("run_id", F.when(is_data, readings).alias("readings"))
-        .select("run_id", F.inline_outer("readings").alias("ts", "pos", "value"))
-        .filter((F.col("pos") == TICK) | known)
+    accounted = ["bytes"] if "bytes" in celled.columns else []
+    place = F.coalesce("pos", F.lit(NO_DATA)) if accounted else F.col("pos")
+    rows = (
+        celled.select("run_id", *accounted, F.when(is_data, readings).alias("readings"))
+        .select("run_id", *accounted, F.inline_outer("readings").alias("ts", "pos", "value"))
+        .withColumn("pos", place)
+        .filter((F.col("pos") <= TICK) | known)
     )
+    if accounted:
+        # A line's bytes count once, at its tick.
+        rows = rows.withColumn("bytes", F.when(F.col("pos") <= TICK, F.col("bytes")))
+    return rows.select("run_id", "ts", "pos", "value", *accounted)
 
 
 def _plan(layout: DataFrame) -> DataFrame:
@@ -207,17 +215,47 @@ def file_paths(run_ids: list[str]) -> list[str]:
     return [_GLOB.sub(r"\\\g<0>", unquote(run_id)) for run_id in run_ids]
 
 
-def read_samples(spark: SparkSession, files: list[str], layout: DataFrame) -> DataFrame:
+def read_samples(
+    spark: SparkSession, files: list[str], layout: DataFrame, accounted: bool = False
+) -> DataFrame:
     """Data lines of one round of files to samples, by the layout of each.
 
     The layouts go to the lines; a round has a fixed number of files, which bounds
     what is broadcast.
+
+    With ``accounted`` a file that cannot be read to its end stops no scan. Every
+    line then counts its ``bytes`` in one row (its tick, or one at ``NO_DATA``), and
+    ``unread_files`` finds the files whose bytes do not add up.
     """
     if not files:
-        files_read = spark.createDataFrame([], "run_id string, line string")
-    else:
-        files_read = spark.read.text(file_paths(files)).select(
-            F.col("_metadata.file_path").alias("run_id"),
-            F.col("value").alias("line"),
+        columns = "run_id string, line string" + (", bytes int" if accounted else "")
+        return _parsed(spark.createDataFrame([], columns), F.broadcast(_plan(layout)))
+    reader = spark.read
+    if accounted:
+        reader = reader.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        # Only then does a line keep every byte before the break.
+        reader = reader.option("lineSep", "\n")
+    lines = reader.text(file_paths(files)).select(
+        F.col("_metadata.file_path").alias("run_id"), F.col("value").alias("line")
+    )
+    if accounted:
+        cut = F.substring("line", F.lit(1), F.length("line") - 1)
+        lines = lines.select(
+            "run_id",
+            F.when(F.endswith("line", F.lit("\r")), cut).otherwise(F.col("line")).alias("line"),
+            (F.octet_length("line") + 1).alias("bytes"),
         )
-    return _parsed(files_read, F.broadcast(_plan(layout)))
+    return _parsed(lines, F.broadcast(_plan(layout)))
+
+
+def unread_files(layout: DataFrame, bins: DataFrame) -> DataFrame:
+    """``run_id, size_bytes, bytes`` of runs whose scan stopped before the end.
+
+    ``bins`` are those of accounted samples. A reader that stops loses whole lines,
+    and a byte order mark is not read as part of a line: up to three bytes may be
+    missing, in which no line with a time stamp fits.
+    """
+    read = bins.groupBy("run_id").agg(F.sum("bytes").alias("bytes"))
+    scanned = layout.filter(F.col("time_pos").isNotNull()).select("run_id", "size_bytes")
+    counted = scanned.join(read, "run_id", "left").fillna(0, ["bytes"])
+    return counted.filter(F.col("bytes") < F.col("size_bytes") - 3)

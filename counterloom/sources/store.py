@@ -17,7 +17,8 @@ again is a new version and replaces the old one for readers.
 replaces, so readers see either those or the new one.
 
 ``failures`` lists files that could not be read; they are tried again at the next
-call.
+call. A file whose bytes were not all read has rows in its batch, but its claim there
+is withdrawn (it names no version), so that no reader sees them.
 """
 
 import uuid
@@ -26,7 +27,7 @@ from itertools import islice
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from counterloom.operators.runs import new_runs, run_status
@@ -52,6 +53,7 @@ from counterloom.sources.counter_logs import (
     layouts,
     list_logs,
     read_samples,
+    unread_files,
 )
 
 _TABLES = {"samples": SAMPLES, "bins": BINS, "counters": COUNTERS, "runs": RUNS}
@@ -123,9 +125,10 @@ def claims(spark: SparkSession, store: str, files: DataFrame | None = None) -> D
 
 
 def outdated(claimed: DataFrame) -> DataFrame:
-    """``run_id, batch`` of claims that lose: older versions and later takers."""
+    """``run_id, batch`` of claims that lose: withdrawn ones, older versions, later takers."""
     order = F.struct(-F.col("modified_us"), -F.col("size_bytes"), F.col("taken_us"), F.col("batch"))
-    winners = claimed.groupBy("run_id").agg(F.min_by("batch", order).alias("batch"))
+    held = claimed.filter(F.col("size_bytes").isNotNull())
+    winners = held.groupBy("run_id").agg(F.min_by("batch", order).alias("batch"))
     return claimed.join(winners, ["run_id", "batch"], "left_anti").select("run_id", "batch").distinct()
 
 
@@ -138,6 +141,8 @@ def _visible(spark: SparkSession, store: str, known: DataFrame) -> dict[str, Dat
     for name, columns in _TABLES.items():
         table = _read(spark, f"{store}/{name}", f"{columns}, batch string")
         table = table.join(known.select("batch"), "batch", "left_semi")
+        if name in ("samples", "bins"):
+            table = table.filter(F.col("pos") >= TICK)
         if not none_lost:
             table = table.join(lost, ["run_id", "batch"], "left_anti")
         tables[name] = table
@@ -215,6 +220,17 @@ def _write_claims(store: str, batch: str, claimed: DataFrame) -> None:
     placed.coalesce(1).write.partitionBy("bucket").parquet(f"{store}/claims/batch={batch}")
 
 
+def _unread_counts(layout: DataFrame, bins: DataFrame) -> list[Row]:
+    """Files whose scan stopped early, with what it read of them: at most a round."""
+    is_tick = F.col("pos") == TICK
+    counts = bins.groupBy("run_id").agg(
+        F.sum(F.when(is_tick & F.col("bin").isNotNull(), F.col("rows"))).alias("rows"),
+        F.sum(F.when(is_tick & F.col("bin").isNull(), F.col("rows"))).alias("bad_rows"),
+        F.sum("n").alias("readings"),
+    )
+    return unread_files(layout, bins).join(counts, "run_id", "left").fillna(0).collect()
+
+
 def _ingest_batch(
     spark: SparkSession,
     store: str,
@@ -224,8 +240,11 @@ def _ingest_batch(
     baseline: str,
     time_column: str | None,
     keep_samples: bool,
-) -> None:
-    """All tables of one batch, its claims, then its commit record."""
+) -> dict[str, str]:
+    """All tables of one batch, its claims, then its commit record.
+
+    Returns the files that could not be read to their end, which it does not claim.
+    """
     batch = uuid.uuid4().hex
     written = []
 
@@ -238,26 +257,34 @@ def _ingest_batch(
     try:
         layout = settle(layouts(headers, [*patterns, baseline], time_column), "layouts")
         seen = Observation()
-        samples = _observed(read_samples(spark, [file[0] for file in files], layout), seen)
+        scan = read_samples(spark, [file[0] for file in files], layout, accounted=True)
+        samples = _observed(scan, seen)
         if keep_samples:
             # Straight from the scan: its tasks hold the lines of few files, in order.
             samples = write("samples", samples)
         bins = write("bins", bin_samples(samples))
+        unread = _unread_counts(layout, bins)
+        short = {row.run_id: f"{row.bytes} of {row.size_bytes} bytes read" for row in unread}
+        if short:
+            layout = layout.filter(~F.col("run_id").isin(list(short)))
         write("counters", counter_dictionary(layout))
         runs = run_table(bins, _bad_rows(bins), layout, baseline)
         write("runs", runs.withColumn("ingested_at", F.current_timestamp()))
-        taken = spark.createDataFrame(files, _FILES)
+        whole = [file for file in files if file[0] not in short]
+        taken = spark.createDataFrame(whole + [(name, None, None) for name in short], _FILES)
         written.append(f"{store}/claims/batch={batch}")
         _write_claims(store, batch, taken.withColumn("taken_us", F.unix_micros(F.current_timestamp())))
     except BaseException:
         for path in written:
             delete_folder(spark, path)
         raise
-    counts = {"files": len(files), "bytes": sum(file[1] for file in files), **seen.get}
+    counts = {"files": len(whole), "bytes": sum(file[1] for file in whole)}
+    counts |= {c: n - sum(row[c] for row in unread) for c, n in seen.get.items()}
     record = spark.range(1).select(
         F.array().alias("replaces"), *[F.lit(counts[c]).alias(c) for c in TELEMETRY]
     )
     _commit(spark, store, batch, record)
+    return short
 
 
 def _is_read_error(error: PySparkException) -> bool:
@@ -277,9 +304,10 @@ def ingest_files(
 ) -> int:
     """Ingest one round of files (path, size, modification time); returns how many failed.
 
-    Files whose header cannot be read are set aside first. If the scan fails on a
-    file all the same, the round is halved until the file stands alone; the others
-    are ingested.
+    Files whose header cannot be read are set aside first. The scan passes over what
+    it cannot read; files whose bytes do not add up afterwards have failed, and the
+    others need no second scan. Only an error that Spark does not pass over (a refused
+    access, a lost block) halves the round until its file stands alone.
     """
     if not files:
         return 0
@@ -303,7 +331,9 @@ def ingest_files(
 
 def _ingest_scanned(spark, store, files, headers, patterns, baseline, time_column, keep, broken):
     try:
-        _ingest_batch(spark, store, files, headers, patterns, baseline, time_column, keep)
+        broken |= _ingest_batch(
+            spark, store, files, headers, patterns, baseline, time_column, keep
+        )
     except PySparkException as error:
         if not _is_read_error(error):
             raise
