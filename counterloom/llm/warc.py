@@ -7,9 +7,15 @@ the smallest. The list of a file's revisits (at most ``RECORDS`` entries) then
 meets the file, and new archives are written: responses copied, revisits with
 fresh headers and without payload.
 
+Files are bounded by bytes as well as by records. Pages of up to ``SMALL`` bytes are
+written ``RECORDS`` to a file; those of up to 2^k times as many bytes go to a folder
+of their own below, ``size=k``, with 2^k times fewer records to a file, so no archive
+holds more than about ``RECORDS * SMALL`` bytes or one record. Archives are
+decompressed piece by piece, and tasks hand on records in batches of ``BATCH_BYTES``.
+
 Archives go through Spark's text sink, so they are committed task by task and land
 in any file system that Spark writes: a record is one "line", and the line
-separator is the empty line that ends a record. They are read back as whole files
+separator is the empty line that ends a record. They are read back file by file
 and cut by Content-Length, since payloads may contain anything.
 
 Defined cases: a null html is an empty payload; a null page id is written without
@@ -26,16 +32,19 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from counterloom.llm.ship import ship
 from counterloom.shared import new_folder, settle
 
-RECORDS = 5000
+RECORDS = 2000
+SMALL = 128 * 1024
+BATCH_BYTES = 32 * 1024 * 1024
 MIN_BYTES = 0
 
+_STEP = 64 * 1024
+
 # Fixed values of the format.
 _VERSION = b"WARC/1.1"
 _BREAK = "\r\n\r\n"
@@ -108,29 +117,64 @@ def revisit_record(fields: dict[str, str], size: int, original: dict, date: str)
     return _record(fresh, _http_head(size))
 
 
-def _unzipped(archive: bytes) -> bytes:
-    parts = []
-    while archive:
-        member = zlib.decompressobj(31)
-        parts.append(member.decompress(archive))
-        archive = member.unused_data
-    return b"".join(parts)
+def _unzipped(archive: bytes) -> Iterator[bytes]:
+    """The content piece by piece, whatever the members it is made of."""
+    member = zlib.decompressobj(31)
+    for at in range(0, len(archive), _STEP):
+        piece = archive[at : at + _STEP]
+        while piece:
+            if member.eof:
+                member = zlib.decompressobj(31)
+            yield member.decompress(piece)
+            piece = member.unused_data
 
 
 def records(archive: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """Fields, HTTP head and payload of every record of a gzip archive."""
-    data, at = _unzipped(archive), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].split(b"\r\n")
+    """Fields, HTTP head and payload of every record of a gzip archive.
+
+    No more than one record and one piece are held decompressed.
+    """
+    pieces, held, passed = _unzipped(archive), bytearray(), 0
+
+    def fill(size: int) -> bool:
+        while len(held) < size:
+            piece = next(pieces, None)
+            if piece is None:
+                return False
+            held.extend(piece)
+        return True
+
+    while fill(1):
+        searched = 0
+        while (end := held.find(b"\r\n\r\n", searched)) < 0:
+            searched = max(0, len(held) - 3)
+            if not fill(len(held) + 1):
+                raise ValueError(f"no end of fields in the record at byte {passed}")
+        version, *lines = bytes(held[:end]).split(b"\r\n")
         if version != _VERSION:
-            raise ValueError(f"not a WARC record at byte {at}")
+            raise ValueError(f"not a WARC record at byte {passed}")
         fields = dict(line.decode().split(": ", 1) for line in lines)
         first = end + 4
-        at = first + int(fields["Content-Length"])
-        head = data.index(b"\r\n\r\n", first, at) + 4
-        yield fields, data[first:head], data[head:at]
-        at += 4
+        last = first + int(fields["Content-Length"])
+        if not fill(last):
+            raise ValueError(f"the record at byte {passed} is cut short")
+        head = held.index(b"\r\n\r\n", first, last) + 4
+        yield fields, bytes(held[first:head]), bytes(memoryview(held)[head:last])
+        fill(last + 4)
+        del held[: last + 4]
+        passed += last + 4
+
+
+def _batched(texts: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    """Texts as batches of about ``BATCH_BYTES``, or one text."""
+    rows, size = [], 0
+    for text in texts:
+        rows.append(text)
+        size += len(text)
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
+            rows, size = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["value"])
 
 
 def _http_size(head: bytes) -> int:
@@ -175,18 +219,32 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _files(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(folder).select("path", "content")
+    """``path, content, size`` of all archives; ``size`` is 0 where no folder states it.
+
+    A filter on ``size`` is one on file names, so other files are not opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    stated = F.regexp_extract(F.col("_metadata.file_path"), r"/size=([0-9]{1,2})/[^/]*$", 1)
+    size = F.coalesce(F.nullif(stated, F.lit("")).cast("int"), F.lit(0))
+    return files.select("path", "content", size.alias("size"))
 
 
-def _write(texts: DataFrame, folder: str, per_file: int) -> None:
+def _write(texts: DataFrame, folder: str, per_file: int, size: int) -> None:
     writer = texts.write.option("lineSep", _BREAK).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", per_file).text(folder)
+    writer = writer.option("maxRecordsPerFile", max(1, per_file >> size))
+    writer.text(f"{folder}/size={size}" if size else folder)
+
+
+def _size_class(payload: Column) -> Column:
+    """The least k such that the payload has at most ``SMALL * 2**k`` bytes."""
+    blocks = F.greatest(F.ceil(F.octet_length(payload) / SMALL), F.lit(1)).cast("long")
+    return F.length(F.bin(blocks - 1)) - (blocks == 1).cast("int")
 
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """Headers of the records under ``folder``; a damaged payload is an error."""
     ship(spark)
-    return _files(spark, folder).mapInArrow(_scan, _HEADERS)
+    return _files(spark, folder).select("path", "content").mapInArrow(_scan, _HEADERS)
 
 
 def write_archives(
@@ -202,9 +260,14 @@ def write_archives(
     ship(pages.sparkSession)
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
-    def responses(*columns: pa.Array) -> pa.Array:
-        rows = zip(*(column.to_pylist() for column in columns))
-        return pa.array([response_record(p, u, h or "", m, date) for p, u, h, m in rows], pa.string())
+    def made(batch: pa.RecordBatch) -> Iterator[str]:
+        for page, uri, payload, mark in zip(*batch.columns):
+            page, uri, text, mark = (v.as_py() for v in (page, uri, payload, mark))
+            yield response_record(page, uri, text or "", mark, date)
+
+    def responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _batched(made(batch))
 
     marked = pages.select(
         F.col(page_id).cast("long").alias("page_id"),
@@ -212,8 +275,12 @@ def write_archives(
         F.col(html).alias("html"),
         F.monotonically_increasing_id().alias("mark"),
     )
-    made = F.arrow_udf(responses, T.StringType())("page_id", "url", "html", "mark")
-    _write(marked.select(made.alias("value")), folder, per_file)
+    size = F.coalesce(_size_class(F.col("html")), F.lit(0))
+    # A payload has at most 2 GiB: fifteen classes.
+    found = sorted(row.size for row in marked.select(size.alias("size")).distinct().collect())
+    for k in found or [0]:
+        texts = marked.filter(size == k).mapInArrow(responses, "value string")
+        _write(texts, folder, per_file, k)
 
 
 def revisits(headers: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -243,22 +310,26 @@ def deduplicate_archives(
     date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     headers = settle(read_archives(spark, source), "headers")
 
+    def copied(content: bytes, changes: dict[int, dict]) -> Iterator[str]:
+        for number, (fields, head, payload) in enumerate(records(content)):
+            if number in changes:
+                yield revisit_record(fields, _http_size(head), changes[number], date)
+            else:
+                kept = {k: v for k, v in fields.items() if k != "Content-Length"}
+                yield _record(kept, (head + payload).decode())
+
     def renewed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content, entries in zip(*batch.columns):
                 changes = {e["number"]: e["original"] for e in entries.as_py() or []}
-                texts = []
-                for number, (fields, head, payload) in enumerate(records(content.as_py())):
-                    if number in changes:
-                        texts.append(revisit_record(fields, _http_size(head), changes[number], date))
-                    else:
-                        kept = {k: v for k, v in fields.items() if k != "Content-Length"}
-                        texts.append(_record(kept, (head + payload).decode()))
-                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["value"])
-
-    lists = revisits(headers, min_bytes)
-    joined = _files(spark, source).join(lists, "path", "left").select("content", "list")
-    _write(joined.mapInArrow(renewed, "value string"), target, per_file)
+                yield from _batched(copied(content.as_py(), changes))
+
+    lists = settle(revisits(headers, min_bytes), "revisits")
+    files = _files(spark, source)
+    for row in sorted(files.select("size").distinct().collect()) or [Row(size=0)]:
+        own = files.filter(F.col("size") == row.size)
+        joined = own.join(lists, "path", "left").select("content", "list")
+        _write(joined.mapInArrow(renewed, "value string"), target, per_file, row.size)
 
 
 def resolve_revisits(
