@@ -225,7 +225,7 @@ def read_samples(
 
     With ``accounted`` a file that cannot be read to its end stops no scan. Every
     line then counts its ``bytes`` in one row (its tick, or one at ``NO_DATA``), and
-    ``unread_files`` finds the files whose bytes do not add up.
+    a store finds the files whose bytes do not add up.
     """
     if not files:
         columns = "run_id string, line string" + (", bytes int" if accounted else "")
@@ -246,16 +246,3 @@ def read_samples(
             (F.octet_length("line") + 1).alias("bytes"),
         )
     return _parsed(lines, F.broadcast(_plan(layout)))
-
-
-def unread_files(layout: DataFrame, bins: DataFrame) -> DataFrame:
-    """``run_id, size_bytes, bytes`` of runs whose scan stopped before the end.
-
-    ``bins`` are those of accounted samples. A reader that stops loses whole lines,
-    and a byte order mark is not read as part of a line: up to three bytes may be
-    missing, in which no line with a time stamp fits.
-    """
-    read = bins.groupBy("run_id").agg(F.sum("bytes").alias("bytes"))
-    scanned = layout.filter(F.col("time_pos").isNotNull()).select("run_id", "size_bytes")
-    counted = scanned.join(read, "run_id", "left").fillna(0, ["bytes"])
-    return counted.filter(F.col("bytes") < F.col("size_bytes") - 3)

@@ -27,7 +27,7 @@ from itertools import islice
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from counterloom.operators.runs import new_runs, run_status
@@ -53,7 +53,6 @@ from counterloom.sources.counter_logs import (
     layouts,
     list_logs,
     read_samples,
-    unread_files,
 )
 
 _TABLES = {"samples": SAMPLES, "bins": BINS, "counters": COUNTERS, "runs": RUNS}
@@ -220,15 +219,23 @@ def _write_claims(store: str, batch: str, claimed: DataFrame) -> None:
     placed.coalesce(1).write.partitionBy("bucket").parquet(f"{store}/claims/batch={batch}")
 
 
-def _unread_counts(layout: DataFrame, bins: DataFrame) -> list[Row]:
-    """Files whose scan stopped early, with what it read of them: at most a round."""
-    is_tick = F.col("pos") == TICK
-    counts = bins.groupBy("run_id").agg(
-        F.sum(F.when(is_tick & F.col("bin").isNotNull(), F.col("rows"))).alias("rows"),
-        F.sum(F.when(is_tick & F.col("bin").isNull(), F.col("rows"))).alias("bad_rows"),
+def unread_files(layout: DataFrame, bins: DataFrame) -> DataFrame:
+    """Runs whose scan stopped before the end, with what it read of them.
+
+    ``bins`` are those of accounted samples. A reader that stops loses whole lines,
+    and a byte order mark is not read as part of a line: up to three bytes may be
+    missing, in which no line with a time stamp fits.
+    """
+    is_tick, timed = F.col("pos") == TICK, F.col("bin").isNotNull()
+    read = bins.groupBy("run_id").agg(
+        F.sum("bytes").alias("bytes"),
+        F.sum(F.when(is_tick & timed, F.col("rows"))).alias("rows"),
+        F.sum(F.when(is_tick & ~timed, F.col("rows"))).alias("bad_rows"),
         F.sum("n").alias("readings"),
     )
-    return unread_files(layout, bins).join(counts, "run_id", "left").fillna(0).collect()
+    scanned = layout.filter(F.col("time_pos").isNotNull()).select("run_id", "size_bytes")
+    counted = scanned.join(read, "run_id", "left").fillna(0)
+    return counted.filter(F.col("bytes") < F.col("size_bytes") - 3)
 
 
 def _ingest_batch(
@@ -263,7 +270,8 @@ def _ingest_batch(
             # Straight from the scan: its tasks hold the lines of few files, in order.
             samples = write("samples", samples)
         bins = write("bins", bin_samples(samples))
-        unread = _unread_counts(layout, bins)
+        # At most a round of files.
+        unread = unread_files(layout, bins).collect()
         short = {row.run_id: f"{row.bytes} of {row.size_bytes} bytes read" for row in unread}
         if short:
             layout = layout.filter(~F.col("run_id").isin(list(short)))
